@@ -1,0 +1,382 @@
+"""The corpus operators against brute force, round trips and held-out labels; null, empty, tied and repeated rows."""
+
+import hashlib
+import re
+import unicodedata
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from plumbline.llm import components, decontamination, fingerprints, mixing, near_dedup, pii, quality, queries, sharding, tokens, url_filter, warc
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+ODD = [(1, None, "en", "a", None), (2, "", "en", None, 0), (3, "word", None, "a", 4), (3, "word", None, "a", 4), (None, "one two three four five six", "en", "b", 27), (5, "x" * 60_000, "en", "b", 60_000), (6, " \n\t ", "en", "b", 4)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, DOCS).withColumn("Shard", F.lit(1)).withColumn("count", F.lit("c"))
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def documents(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+# PII
+
+
+def luhn(m):
+    d = [int(c) for c in re.sub(r"\D", "", m)][::-1]
+    return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0
+
+
+def base_spans(text):
+    rules = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(re.sub(r"\D", "", m)) <= 19 and luhn(m)),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub(r"\D", "", m)) <= 15),
+    ]
+    return [f"{k}:{m.start()}:{m.end()}" for k, p, ok in rules for m in re.finditer(p, text or "") if ok(m[0])]
+
+
+TRICKY = [
+    "a@b.com.%x@c.de é+x@y.zz", "a@@b.c d@e", "1.2.3.4.5 256.1.1.1 001.002.003.255 1.2.3", "4111 1111 1111 1111x 4111-1111-1111-1112 41111111111111111111111111",
+    "+1 (555) 123-4567. +1234 +(1) +12345678901234567890", "𝒳𝒳 a.b@c.d 𝒳 10.0.0.1", "@" * 2000, "1" * 3000, "+1" * 500, "a" * 5000 + "@b.c", "9.9.9.9.9.9.9.9", "4111 1111  1111 1111",
+]
+
+
+def test_pii_equals_plain_search(spark, documents):
+    rows = [(i, t) for i, t in enumerate([*TRICKY, None, ""])]
+    tricky = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for df in (tricky, documents):
+        texts = {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
+        for r in pii.pii_report(df).collect():
+            want = base_spans(texts[r.doc_id])
+            assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), (texts[r.doc_id][:80], r.spans, want)
+            assert [x for x in r.spans.split(",") if x.split(":")[0] in pii.BASE] == want
+            assert [r[f"n_{k}"] for k in pii.BASE] == [sum(x.startswith(k) for x in want) for k in pii.BASE]
+
+
+def test_pii_checksums_and_context(spark, odd, empty):
+    rows = [(1, "IBAN DE89 3704 0044 0532 0130 00 ok"), (2, "DE89370400440532013001"), (3, "ssn 123-45-6789"), (4, "part 123-45-6789"), (5, "GB82WEST12345698765432.")]
+    got = {r.doc_id: r.spans for r in pii.pii_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: "iban:5:32", 2: "", 3: "ssn:4:15", 4: "", 5: "iban:0:22"}
+    assert pii.pii_report(odd).count() == len(ODD) and pii.pii_report(empty).count() == 0
+
+
+# decontamination
+
+
+def toks(t):
+    return re.findall(r"[^\W_]+", (t or "").lower())
+
+
+def grams(ws, w):
+    return {" ".join(ws[i : i + w]) for i in range(len(ws) - w + 1)}
+
+
+def contaminated(docs, items):
+    out = set()
+    for j, b in items:
+        ws = toks(b)
+        if ws:
+            w = min(5, len(ws))
+            s = grams(ws, w)
+            out |= {(i, j) for i, t in docs if 1000 * len(s & grams(toks(t), w)) >= 800 * len(s)}
+    return out
+
+
+def test_decontamination_equals_brute_force(spark, sf, documents):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    base = [r.text for r in bench.orderBy("item_id").limit(5).collect()]
+    words = base[0].split()
+    extra = [(900 + i, " ".join(["pad"] * 50 + words[: int(len(words) * s)] + ["end"] * 500)) for i, s in enumerate((1.0, 0.95, 0.9, 0.85, 0.8, 0.7, 0.5))]
+    extra += [(950, None), (951, ""), (None, base[1]), (953, "Short item here"), (954, base[2].upper() + base[2])]
+    docs = documents.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id bigint, text string"))
+    items = bench.union(spark.createDataFrame([(900, "short ITEM"), (901, ""), (902, None), (903, "end")], "item_id bigint, text string"))
+    got = {(r.id, r.item_id) for r in decontamination.contamination(docs, items).collect()}
+    want = contaminated([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
+    assert got == want and (953, 900) in got and (None, 1) in got and (902, 902) not in got
+    left = [r.doc_id for r in decontamination.decontaminate(docs, items).collect()]
+    assert Counter(left) == Counter(r.doc_id for r in docs.collect() if r.doc_id not in {i for i, _ in want})
+
+
+def test_decontamination_odd(spark, odd, empty):
+    none = spark.createDataFrame([], "item_id bigint, text string")
+    assert decontamination.decontaminate(odd, none).count() == len(ODD)
+    item = spark.createDataFrame([(1, "two three FOUR five six")], "item_id bigint, text string")
+    left = decontamination.decontaminate(odd, item)
+    assert left.count() == len(ODD) - 1 and left.columns == odd.columns
+    assert decontamination.decontaminate(empty, item).count() == 0
+
+
+# URL filter
+
+
+def test_cascade_is_exact(spark):
+    universe = spark.range(20_000).select(F.concat(F.lit("h"), "id", F.lit(".example")).alias("key"))
+    listed = universe.where("crc32(key) % 7 = 0").union(spark.createDataFrame([("not.there",)], "key string"))
+    levels = url_filter.build_cascade(listed, universe)
+    assert len(levels) > 2
+    wrong = universe.where(url_filter.member(levels, F.col("key")) != F.expr("crc32(key) % 7 = 0"))
+    assert wrong.count() == 0
+    assert url_filter.build_cascade(listed, universe, max_bits=64) is None
+
+
+URLS = [
+    (1, "http://a.net/x"), (2, "http://a.net"), (3, "https://x.EXAMPLE.net/en/1?q"), (4, "http://m.example.com/de/"), (5, "http://b.org/fr/x#y"), (6, "http://spam-farm.example.org/fr/1"),
+    (7, "http://spam-farm.example.org/en"), (8, "http://WWW.spam-farm.example.org?x"), (9, None), (10, "nohost"), (11, "x://"), (12, "http://fooexample.com/de/"), (13, "http://éX.net/Ü"), (14, "http://a.net/x"), (None, "http://q.org/"),
+]
+
+
+@pytest.mark.parametrize("bits", [url_filter.MAX_BITS, 1])
+def test_url_rules(spark, bits):
+    pages = spark.createDataFrame(URLS, "page_id bigint, url string").withColumn("host", F.lit(1))
+    got = {r.page_id: tuple(r)[1:5] for r in url_filter.judge(pages, url_filter.listed_keys(spark), max_bits=bits).collect()}
+    assert got == {
+        1: ("a.net", "/x", "net/", "block"), 2: ("a.net", "", None, "allow"), 3: ("x.example.net", "/en/1", "example.net/en/", "allow"), 4: ("m.example.com", "/de/", "example.com/de/", "block"),
+        5: ("b.org", "/fr/x", "org/fr/", "allow"), 6: ("spam-farm.example.org", "/fr/1", "org/fr/", "allow"), 7: ("spam-farm.example.org", "/en", None, "block"), 8: ("www.spam-farm.example.org", "", None, "block"),
+        9: ("", "", None, "allow"), 10: ("", "", None, "allow"), 11: ("", "", None, "allow"), 12: ("fooexample.com", "/de/", None, "allow"), 13: ("éx.net", "/Ü", "net/", "block"), 14: ("a.net", "/x", "net/", "block"), None: ("q.org", "/", None, "allow"),
+    }
+    assert url_filter.judge(pages.limit(0), url_filter.listed_keys(spark)).count() == 0
+
+
+# sharding
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 24, 100, 1023, 1025])
+def test_permutation(n):
+    assert sorted(sharding.permute(np.arange(n), n).tolist()) == list(range(n))
+    assert n < 24 or sharding.permute(np.arange(n), n).tolist() != list(range(n))
+
+
+def test_sharding_law(spark, sf):
+    rows = queries.op4_sharding(spark, sf).collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert Counter(r.doc_id for r in rows) == Counter(texts.keys())
+    by = defaultdict(list)
+    for r in rows:
+        assert r.size == len(texts[r.doc_id].encode()) + 8 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode())
+        by[r.shard].append(r.slot)
+    assert set(by) == set(range(24)) and all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    # the same whatever the partitioning, and as computed from the global row number
+    places = sharding.shard_keys(spark.createDataFrame([(i,) for i in range(500)], "doc_id bigint").repartition(7)).collect()
+    assert {r.doc_id: r.position for r in places} == dict(enumerate(sharding.permute(np.arange(500), 500).tolist()))
+
+
+def test_sharding_odd(spark, odd, empty):
+    out = sharding.shard_documents(odd)
+    rows = out.collect()
+    assert len(rows) == len(ODD) and out.columns == [*odd.columns, "shard_", "slot"]
+    assert len({(r["shard_"], r.slot) for r in rows}) == len(ODD)
+    assert sharding.shard_documents(empty).count() == 0
+    many = spark.range(3000).select(F.lit(7).cast("bigint").alias("doc_id"))
+    assert sorted(r.position for r in sharding.shard_keys(many).collect()) == list(range(3000))
+
+
+# WARC
+
+
+def test_warc_round_trip(spark, tmp_path):
+    big = "<p>é</p>" * 400
+    pages = [(1, "http://a/ b", "x"), (2, "http://b", big), (3, None, big), (7, "http://c", big), (4, "http://d", None), (5, "http://e", ""), (6, "http://f", "x"), (8, "http://g", "WARC/1.1\r\n\r\n" * 300), (None, "http://h", "n")]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(3)
+    got = {r.page_id: r for r in warc.round_trip(df, keep=f"file://{tmp_path}/out").collect()}
+    for i, _, html in pages:
+        raw = (html or "").encode()
+        assert (got[i].payload_bytes, got[i].payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
+    assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {i: ("revisit", 7) if i in (2, 3) else ("response", None) for i, _, _ in pages}
+    assert got[2].stored_bytes == 0 and got[7].stored_bytes == len(big.encode())
+    import gzip
+
+    files = list((tmp_path / "out").glob("*.warc.gz"))
+    assert sum(gzip.open(f).read().count(b"WARC-Record-ID") for f in files) == len(pages)
+    assert warc.round_trip(df.limit(0)).count() == 0
+
+
+# token counts
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_tokens_equal_the_library(spark, documents, vocabulary):
+    t = tokens.load(vocabulary)
+    odd = ["".join(chr(i) for i in range(1, 300)), "a\u2003\x85b\x1c\x1d c\u00a0 d", "<|endoftext|>", "x <|endoftext|><|endoftext|> y", "don't 'Sx 's!'s", "  \n\n  a  ", "x" * 5000, "1234567890 ١٢٣ Ⅻ", "𝒳𝒴 👩‍👩‍👧", "é" * 50, "\ufeff\u200b", "a\r\n\r\nb"]
+    df = documents.select("doc_id", "text").union(spark.createDataFrame([(10_000 + i, x) for i, x in enumerate([*odd, None, ""])], "doc_id bigint, text string"))
+    texts = {r.doc_id: r.text or "" for r in df.collect()}
+    for r in tokens.count_tokens(df, vocabulary).collect():
+        want = len(t.encode(texts[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), want, want > 512), texts[r.doc_id][:60]
+
+
+def test_whole_tokens_are_proven(vocabulary):
+    t, whole = tokens.load(vocabulary), tokens.whole_tokens(vocabulary)
+    assert len(whole) > 40_000 and all(len(t.encode(s, add_special_tokens=False).ids) == 1 for s in whole[::97])
+
+
+# mixing
+
+
+def test_poisson_inversion():
+    for rate in (0.01, 0.7, 3.0, 900.0):
+        cdf = mixing.poisson_cdf(rate)
+        p = np.diff([0.0, *cdf])
+        assert abs((p * np.arange(len(p))).sum() - rate) < 1e-6 * max(1, rate) and cdf[-1] > 1 - 1e-9
+    assert mixing.poisson_cdf(0.0) == []
+
+
+def test_mixing_hits_targets(spark):
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("source"))
+    n = {r.source: r["count"] for r in mixing.mix(docs, {"a": 3.0, "b": 1.0}, total=40_000).groupBy("source").count().collect()}
+    assert set(n) == {"a", "b"} and abs(n["a"] - 30_000) < 900 and abs(n["b"] - 10_000) < 500
+
+
+def test_mixing_odd(spark, odd, empty):
+    out = mixing.mix(odd, total=70.0, details=True)
+    assert out.columns[: len(odd.columns)] == odd.columns
+    rows = out.collect()
+    assert {r.doc_id for r in rows} == {r[0] for r in ODD}  # the null source takes part
+    assert all(c == 1 for c in Counter((r.doc_id, r.mix_copy) for r in rows if r.doc_id != 3).values())
+    assert mixing.mix(empty).count() == 0 and mixing.mix(odd, {}).count() == 0
+
+
+# fingerprints
+
+
+def brute_prints(rows):
+    rows = sorted(rows, key=lambda r: -r[0])
+    out = {}
+    for k, (i, t) in enumerate(rows):
+        nxt = rows[(k + 1) % len(rows)][1]
+        c = len(t) // 3
+        e = t[: len(t) - c] + nxt[:c]
+        can = lambda x: " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", x).casefold()).split())
+        out[i] = (len(t), hashlib.sha256(e.encode()).hexdigest(), float(can(t) == can(e)), float(can(t) == can(nxt)))
+    return out
+
+
+def test_fingerprints_equal_brute_force(spark, documents):
+    extra = [(5000, "Ｆull ﬁt"), (5001, "full  FIT "), (5002, None), (5003, ""), (5004, "ab"), (5005, "STRASSE x"), (5006, "straße X")]
+    df = documents.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id bigint, text string"))
+    want = brute_prints([(r.doc_id, r.text or "") for r in df.collect()])
+    rows = fingerprints.document_prints(df.repartition(5)).collect()
+    assert {r.doc_id: (r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in rows} == want
+    p = {r.doc_id: r.fingerprint for r in rows}
+    assert p[5000] == p[5001] and p[5005] == p[5006] and p[5002] == p[5003] and p[5004] != p[5003]
+
+
+def test_fingerprints_odd(spark, odd, empty, monkeypatch):
+    assert fingerprints.document_prints(odd).count() == len(ODD) and fingerprints.document_prints(empty).count() == 0
+    one = spark.createDataFrame([(1, "abcdef")], "doc_id bigint, text string")
+    r = fingerprints.document_prints(one).first()
+    assert r.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest() and r.near_next == 1.0
+
+
+# near-duplicates
+
+
+def sets_of(rows, width):
+    out = {}
+    for i, t in rows:
+        ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        out[i] = frozenset(tuple(ws[a : a + width]) for a in range(max(1, len(ws) - width + 1))) if ws else frozenset()
+    return out
+
+
+def brute_components(sets):
+    by, parent = defaultdict(set), {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, s in sets.items():
+        for g in s:
+            by[g].add(i)
+    for i, s in sets.items():
+        c = Counter(j for g in s for j in by[g] if j > i)
+        for j, n in c.items():
+            if 100 * n >= 80 * (len(s) + len(sets[j]) - n):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return {i: root(i) for i in sets}
+
+
+def edited_group(seed, n, words=120):
+    rng = np.random.default_rng(seed)
+    base = [f"w{k}" for k in rng.integers(0, 5000, words)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.integers(0, 14)):
+            w[rng.integers(0, words)] = f"e{rng.integers(0, 10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_near_duplicates_equal_brute_force(spark, documents):
+    texts = [t for s in range(3) for t in edited_group(s, 120)] + ["a b", "A  B", "a b c d", "", None, "x", "x"]
+    df = documents.select("doc_id", "text").union(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(texts)], "doc_id bigint, text string"))
+    sets = sets_of([(r.doc_id, r.text) for r in df.collect()], 4)
+    want = brute_components(sets)
+    rows = near_dedup.near_duplicates(df.repartition(6), width=4).collect()
+    assert {r.doc_id: r.n_shingles for r in rows} == {i: len(s) for i, s in sets.items()}
+    assert {r.doc_id: r.component_id for r in rows} == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
+
+
+def test_near_duplicates_odd(spark, odd, empty):
+    rows = near_dedup.near_duplicates(odd).collect()
+    assert len(rows) == len(ODD) and near_dedup.near_duplicates(empty).count() == 0
+    left = near_dedup.deduplicate(odd)
+    assert left.columns == odd.columns
+    assert Counter(r.doc_id for r in left.collect()) == Counter({1: 1, 2: 1, 3: 1, None: 1, 5: 1, 6: 1})
+
+
+def test_bayesian_bounds():
+    for n in (36, 252, 504):
+        m = near_dedup.least_matches(n, 0.8)
+        assert 0.45 * n < m < 0.8 * n
+    low = near_dedup.least_matches(252, 0.8, 1e-9)
+    assert low < near_dedup.least_matches(252, 0.8, 1e-2)
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(0, 300)] + [(1000, 999), (999, 998), (7, 7)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(chain, "u bigint, v bigint")).collect()}
+    assert got == {i: 0 for i in range(1, 301)} | {999: 998, 1000: 998}
+    assert components.components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+# quality
+
+
+def test_quality_on_given_labels(spark, sf):
+    got = {r.doc_id: r for r in quality.classify(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    right = sum(got[r.doc_id].kept == bool(r.quality) for r in labels) / len(labels)
+    good = [got[r.doc_id].kept for r in labels if r.quality]
+    assert right > 0.9 and sum(good) / len(good) > 0.97
+
+
+def test_quality_odd(spark, odd, empty):
+    rows = {r.doc_id: r for r in quality.classify(odd).collect()}
+    assert not rows[1].kept and not rows[2].kept and not rows[6].kept and rows[1].score == 0.0
+    assert quality.classify(empty).count() == 0 and quality.keep_good(empty).count() == 0
+    assert quality.keep_good(odd).columns == odd.columns
