@@ -28,17 +28,23 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _grams(of: str, width: int, item: str) -> Column:
-    """All runs of `width` elements of the array column `of`, each made by the SQL `item` of its first place i."""
-    return F.expr(f"CASE WHEN size({of}) >= {width} THEN transform(sequence(0, size({of}) - {width}), i -> {item}) ELSE array() END")
+def _let(value: Column, f) -> Column:
+    """f(value), with the value made once: a filter that moves below a projection would else repeat it for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _hash_grams(of: str, width: int) -> Column:
-    return _grams(of, width, f"xxhash64({', '.join(f'{of}[i + {j}]' for j in range(width))})")
+def _grams(words_: Column, width: int, item, empty: str) -> Column:
+    """item(w, i) for each place i of the array at which `width` elements begin."""
+    every = lambda w: F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: item(w, i))).otherwise(F.array().cast(empty))
+    return _let(words_, every)
 
 
-def _text_grams(of: str, width: int) -> Column:
-    return _grams(of, width, f"concat_ws(' ', {', '.join(f'{of}[i + {j}]' for j in range(width))})")
+def _hash_grams(hashes: Column, width: int) -> Column:
+    return _grams(hashes, width, lambda h, i: F.xxhash64(*[h[i + j] for j in range(width)]), "array<bigint>")
+
+
+def _text_grams(words_: Column, width: int) -> Column:
+    return _grams(words_, width, lambda w, i: F.concat_ws(" ", *[w[i + j] for j in range(width)]), "array<string>")
 
 
 def _items(benchmark: DataFrame, item_id: str, text: str, width: int, t: float) -> DataFrame:
@@ -47,8 +53,8 @@ def _items(benchmark: DataFrame, item_id: str, text: str, width: int, t: float)
     b = b.select("item_id", F.least(F.size("ws"), F.lit(width)).alias("w"), "ws", F.transform("ws", lambda x: F.xxhash64(x)).alias("hs"))
     texts, hashes = F.lit(None).cast("array<string>"), F.lit(None).cast("array<bigint>")
     for w in range(1, width + 1):
-        texts = F.when(F.col("w") == w, _text_grams("ws", w)).otherwise(texts)
-        hashes = F.when(F.col("w") == w, _hash_grams("hs", w)).otherwise(hashes)
+        texts = F.when(F.col("w") == w, _text_grams(F.col("ws"), w)).otherwise(texts)
+        hashes = F.when(F.col("w") == w, _hash_grams(F.col("hs"), w)).otherwise(hashes)
     b = b.select("item_id", "w", F.array_distinct(texts).alias("shingles"), F.array_distinct(hashes).alias("hashes")).withColumn("n", F.size("shingles"))
     part = F.floor(F.log2(F.col("n").cast("double")) + 1e-9)
     k = F.floor((1 - t + 1e-9) * (F.pow(F.lit(2.0), part + 1) - 1)).cast("int") + 1
@@ -67,17 +73,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hashed = d.select("id", "text_hash", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("hs"))
     found = None
     for w in widths:
-        grams = hashed.select("id", "text_hash", F.explode(_hash_grams("hs", w)).alias("h"))
+        grams = hashed.select("id", "text_hash", F.explode(_hash_grams(F.col("hs"), w)).alias("h"))
         hits = grams.join(bounded_broadcast(sketch.where(F.col("w") == w).drop("w"), sketch_rows), "h").select("id", "text_hash", "item_id")
         found = hits if found is None else found.union(hits)
     candidates = written(found.distinct(), "candidates")
     n = candidates.count()
     c = candidates.select(F.col("id").alias("c_id"), F.col("text_hash").alias("c_hash"), "item_id")
     pairs = d.join(bounded_broadcast(c, n), (d.text_hash == F.col("c_hash")) & d.id.eqNullSafe(F.col("c_id")))
-    pairs = pairs.join(bounded_broadcast(items.drop("sketch", "part"), items.count(), 200_000), "item_id").withColumn("ws", words(F.col("text")))
+    pairs = pairs.join(bounded_broadcast(items.drop("sketch", "part"), items.count(), 200_000), "item_id")
     held = F.lit(None).cast("array<string>")
     for w in widths:
-        held = F.when(F.col("w") == w, _text_grams("ws", w)).otherwise(held)
+        held = F.when(F.col("w") == w, _text_grams(words(F.col("text")), w)).otherwise(held)
     pairs = pairs.select("id", "text_hash", "item_id", F.size(F.array_intersect("shingles", held)).alias("shared"), F.col("n").alias("n_shingles"))
     least = math.ceil(threshold * 1000)
     return pairs.where(F.col("shared") * 1000 >= F.col("n_shingles") * least).distinct()
