@@ -120,20 +120,22 @@ def features_of(h: np.ndarray, words: list[bytes], shapes: _Shapes) -> tuple[np.
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic regression with soft targets; both classes weigh the same."""
-    x = np.zeros((len(rows), FEATURES), np.float32)
+    used = np.unique(np.concatenate([f for f, _ in rows]))
+    x = np.zeros((len(rows), len(used)), np.float32)
     for i, (f, v) in enumerate(rows):
-        x[i, f] = v
+        x[i, np.searchsorted(used, f)] = v
     good = max(target.sum(), 1e-9)
     weight = target * (0.5 / good) + (1 - target) * (0.5 / max(len(target) - good, 1e-9))
-    w, b, momentum, bm = np.zeros(FEATURES), 0.0, np.zeros(FEATURES), 0.0
+    w, b, momentum, bm = np.zeros(len(used), np.float32), np.float32(0), np.zeros(len(used), np.float32), np.float32(0)
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        # the gradient of the weighted loss; the labels' own shares are put back below
-        g = weight * (p - target)
-        momentum = 0.9 * momentum + x.T @ g + RIDGE * w
-        bm = 0.9 * bm + g.sum()
-        w, b = w - RATE * momentum, b - RATE * bm
-    return w, float(b)
+        g = (weight * (p - target)).astype(np.float32)
+        momentum = np.float32(0.9) * momentum + g @ x + np.float32(RIDGE) * w
+        bm = np.float32(0.9) * bm + g.sum()
+        w, b = w - np.float32(RATE) * momentum, b - np.float32(RATE) * bm
+    full = np.zeros(FEATURES)
+    full[used] = w
+    return full, float(b)
 
 
 class Model:
