@@ -11,6 +11,7 @@ default; texts are read whole; equal rows get equal counts; extra columns are ig
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,7 +22,9 @@ LIMIT = 512
 #: The byte-level pattern of this family of tokenizers (fixed values).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pre-tokens that a task remembers, and the longest of them.
-MEMORY, LONGEST = 300_000, 64
+MEMORY, LONGEST = 200_000, 64
+#: Documents whose pre-tokens are held at once.
+DOCUMENTS = 32
 
 
 def load(path: str):
@@ -42,7 +45,7 @@ def whole_tokens(path: str) -> list[str]:
 
 
 class Counter:
-    """Counts tokens of texts; one for each task."""
+    """Counts tokens of texts; one for each worker process."""
 
     def __init__(self, path: str, whole: list[str]):
         import regex
@@ -76,17 +79,28 @@ class Counter:
         return out
 
 
+_counters: dict[str, Counter] = {}
+
+
+def counter_of(path: str, shared) -> Counter:
+    """The worker's own counter: the library's model is loaded once, not for every task."""
+    if path not in _counters:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _counters[path] = Counter(path, shared.value)
+    return _counters[path]
+
+
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """id, n_bytes, n_tokens, over_limit for each document; one pass without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))  # bounded by the vocabulary
 
     @F.pandas_udf("bigint")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = Counter(path, shared.value)
+        counter = counter_of(path, shared)
         for texts in batches:
-            listed, counts = texts.tolist(), []
-            for a in range(0, len(listed), 256):
-                counts += counter.count(listed[a : a + 256])
+            counts = []
+            for a in range(0, len(texts), DOCUMENTS):
+                counts += counter.count(texts.iloc[a : a + DOCUMENTS].tolist())
             yield pd.Series(counts, dtype="int64")
 
     t = F.coalesce(F.col(text_col), F.lit(""))
