@@ -8,10 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UNASSIGNED = "(unassigned)"
-# The extensions of source files and of headers.
-SOURCE_EXTENSIONS = ("c", "cc", "cp", "cpp", "cppm", "cxx", "c++", "ixx", "h", "hh", "hp", "hpp", "hxx", "h++", "inl")
-HEADER_EXTENSIONS = ("h", "hh", "hp", "hpp", "hxx", "h++", "inl", "ipp", "tcc")
-TEST_GLOBS = ("test/**", "tests/**", "**/test/**", "**/tests/**")
+# The extensions of source files and of headers, and the globs of test code.
+SOURCE_EXTENSIONS = ("c", "h", "cc", "cp", "cpp", "cxx", "c++", "hh", "hpp", "hxx", "h++", "inl", "ipp", "tpp", "cppm")
+HEADER_EXTENSIONS = ("h", "hh", "hpp", "hxx", "h++", "inl", "ipp", "tpp", "tcc")
+TEST_GLOBS = ("**/test/**", "**/tests/**", "**/*_test.*", "**/test_*.*")
 
 
 def glob_to_regex(glob: str) -> str:

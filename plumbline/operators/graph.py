@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Edges of a weak component that one task may hold (about 1 GB); larger ones are split by reachability rounds.
 TASK_EDGES = 5_000_000
+#: A whole graph of at most so many edges goes to one task as it is.
+SMALL_EDGES = 1_000_000
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -131,9 +133,9 @@ def _reach(e: DataFrame, seeds: DataFrame, forward: bool) -> DataFrame:
         seen = _kept(seen.union(new))
 
 
-def strong_components(edges: DataFrame, trim_rounds: int = 2, task_edges: int = TASK_EDGES) -> DataFrame:
+def strong_components(edges: DataFrame, trim_rounds: int = 2, task_edges: int = TASK_EDGES, small_edges: int = SMALL_EDGES) -> DataFrame:
     """node, cycle_min: the nodes of components of more than one node, and each component's smallest."""
-    e = _kept(_trim(distinct_edges(edges).where("src <> dst"), trim_rounds))
+    e = _kept(distinct_edges(edges).where("src <> dst"))
     kind = dict(e.dtypes)["src"]
     out = None
 
@@ -141,6 +143,9 @@ def strong_components(edges: DataFrame, trim_rounds: int = 2, task_edges: int =
         found = tarjan(list(zip(pdf["src"], pdf["dst"], strict=True)))
         return pd.DataFrame([(x, c[0]) for c in found for x in c], columns=["node", "cycle_min"])
 
+    if e.count() <= small_edges:
+        return e.groupBy(F.lit(1)).applyInPandas(run, f"node {kind}, cycle_min {kind}")
+    e = _kept(_trim(e, trim_rounds))
     while True:
         if not e.count():
             small = e.select(F.col("src").alias("node"), F.col("src").alias("cycle_min"))

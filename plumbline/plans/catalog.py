@@ -129,7 +129,7 @@ def normal_paths(spark, d):
 
 @query(
     """WITH e AS (SELECT lower(regexp_extract(url, '[^/.][^/]*\\.([^./]*)$', 1)) AS ext FROM pages)
-    SELECT count(*) AS units, count(*) FILTER (ext NOT IN ('c', 'cc', 'cp', 'cpp', 'cppm', 'cxx', 'c++', 'ixx', 'h', 'hh', 'hp', 'hpp', 'hxx', 'h++', 'inl')) AS skipped, count(*) FILTER (ext = 'html') AS html FROM e"""
+    SELECT count(*) AS units, count(*) FILTER (ext NOT IN ('c', 'h', 'cc', 'cp', 'cpp', 'cxx', 'c++', 'hh', 'hpp', 'hxx', 'h++', 'inl', 'ipp', 'tpp', 'cppm')) AS skipped, count(*) FILTER (ext = 'html') AS html FROM e"""
 )
 def plan_filter_counts(spark, d):
     p = _t(spark, d, "pages").select(F.col("url"))

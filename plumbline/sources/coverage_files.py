@@ -23,7 +23,7 @@ LLVM = f"data array<struct<files array<struct<filename string, summary struct<li
 
 
 def read_texts(spark: SparkSession, *paths: str) -> DataFrame:
-    return spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("source"), F.col("value").alias("text"))
+    return spark.read.text(list(paths), wholetext=True).select(F.regexp_replace(F.input_file_name(), "^file:/+", "/").alias("source"), F.col("value").alias("text"))
 
 
 def sniff(text: Column) -> Column:
