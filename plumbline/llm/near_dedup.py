@@ -5,9 +5,10 @@
 2. A class has a signature of SIGNATURE minimum hashes, kept as their low bytes. The first BANDS * ROWS of them make
    bands; classes that agree in a band are candidates. A pair at the threshold 0.8 misses every band with a
    probability of (1 - 0.8^6)^42 < 3e-6.
-3. In the first wave each class is compared with one pivot: of the buckets it shares, the member with the most
-   neighbours. In the second wave the buckets that still hold different components are compared, in blocks of bounded
-   size; pairs inside one component are skipped, so a group of copies isn't expanded into all its pairs.
+3. In the first wave each class is compared with one pivot (of the buckets it shares, the member with the most
+   neighbours), and the two of each bucket of two with each other. In the second wave the larger buckets that still
+   hold different components are compared, in blocks of bounded size; pairs inside one component are skipped, so a
+   group of copies isn't expanded into all its pairs.
 4. Comparing is sequential: signatures are compared in batches, and a pair is dropped as soon as the posterior
    probability (uniform prior) that its similarity reaches the threshold falls below MISS.
 5. Survivors are verified on the full sets. Components of the verified links are the groups.
@@ -156,12 +157,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
 
 
 def _pivots(shared: DataFrame) -> DataFrame:
-    """u, v: each class and, of the buckets it is in, the member with the most neighbours. shared: node, band_key, members."""
+    """u, v: each class and, of the buckets it is in, the member with the most neighbours; and the members of buckets of two."""
     weight = shared.groupBy("node").agg(F.sum("members").alias("weight"))
     at = shared.join(weight, "node")
     top = at.groupBy("band_key").agg(F.max(F.struct("weight", "node")).alias("top"))
     best = at.join(top, "band_key").groupBy("node").agg(F.max("top").alias("top"))
-    return best.select(F.col("node").alias("u"), F.col("top.node").alias("v")).where("u <> v")
+    star = best.select(F.col("node").alias("u"), F.col("top.node").alias("v")).where("u <> v")
+    twos = shared.where("members = 2").groupBy("band_key").agg(F.min("node").alias("u"), F.max("node").alias("v")).select("u", "v")
+    return star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).union(twos).distinct()
 
 
 def _compare_pivots(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
