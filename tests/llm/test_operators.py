@@ -341,6 +341,21 @@ def test_near_duplicates_equal_brute_force(spark, documents):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+def test_pairs_beside_a_large_group(spark):
+    """Each pair shares bands with a large group that it isn't linked with: the group's pivot must not hide the pair."""
+    rng = np.random.default_rng(5)
+    texts = edited_group(50, 80)
+    base = texts[0].split()
+    for k in range(60):
+        w = list(base)
+        for p in rng.choice(len(w), 9, replace=False):
+            w[p] = f"far{k}x{p}"
+        texts += [" ".join(w), " ".join([*w, f"end{k}"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = near_dedup.near_duplicates(df, width=4).collect()
+    assert {r.doc_id: r.component_id for r in rows} == brute_components(sets_of(list(enumerate(texts)), 4))
+
+
 def test_near_duplicates_odd(spark, odd, empty):
     rows = near_dedup.near_duplicates(odd).collect()
     assert len(rows) == len(ODD) and near_dedup.near_duplicates(empty).count() == 0
@@ -372,7 +387,7 @@ def test_quality_on_given_labels(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
     right = sum(got[r.doc_id].kept == bool(r.quality) for r in labels) / len(labels)
     good = [got[r.doc_id].kept for r in labels if r.quality]
-    assert right > 0.9 and sum(good) / len(good) > 0.97
+    assert right > 0.93 and sum(good) / len(good) > 0.97
 
 
 def test_quality_odd(spark, odd, empty):
