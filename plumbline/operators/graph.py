@@ -6,6 +6,7 @@ Components: trimming, weak components by hook-and-jump rounds, then Tarjan's alg
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -115,6 +116,12 @@ def tarjan(pairs: list[tuple]) -> list[list]:
     return out
 
 
+def _together(batches: Iterator[pd.DataFrame]) -> list[pd.DataFrame]:
+    """The batches of a task as one, if there are any; for inputs of a checked size."""
+    kept = [b for b in batches if len(b)]
+    return [pd.concat(kept)] if kept else []
+
+
 def _trim(e: DataFrame, rounds: int) -> DataFrame:
     """Without edges at nodes that nothing enters or nothing leaves: those are in no cycle."""
     for _ in range(rounds):
@@ -144,7 +151,7 @@ def strong_components(edges: DataFrame, trim_rounds: int = 2, task_edges: int =
         return pd.DataFrame([(x, c[0]) for c in found for x in c], columns=["node", "cycle_min"])
 
     if e.count() <= small_edges:
-        return e.groupBy(F.lit(1)).applyInPandas(run, f"node {kind}, cycle_min {kind}")
+        return e.coalesce(1).mapInPandas(lambda batches: (run(x) for x in _together(batches)), f"node {kind}, cycle_min {kind}")
     e = _kept(_trim(e, trim_rounds))
     while True:
         if not e.count():
