@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Rows of a key table (a few longs each) that may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
+#: Rows of one key that a join leaves together; more are dealt over several tasks.
+HOT = 2000
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -60,6 +63,24 @@ def bounded_broadcast(df: DataFrame, rows: int | None = None, bound: int = BROAD
     return F.broadcast(df) if (df.count() if rows is None else rows) <= bound else df
 
 
+def dealt_join(left: DataFrame, right: DataFrame, key: str, by: str, hot: DataFrame) -> DataFrame:
+    """left joined with right on key; keys in hot (key, rows: its rows in left) are dealt over tasks by a hash of `by`.
+
+    right has one row for each key; it is repeated once for every HOT rows of its key in left. hot should be written.
+    """
+    salts = bounded_broadcast(hot.select(key, F.ceil(F.col("rows") / F.lit(HOT)).cast("int").alias("salts")))
+    at = F.coalesce(F.pmod(F.xxhash64(by), F.col("salts")).cast("int"), F.lit(0))
+    all_ = F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)
+    dealt = left.join(salts, key, "left").withColumn("salt", at).drop("salts")
+    repeated = right.join(salts, key, "left").withColumn("salt", F.explode(all_)).drop("salts")
+    return dealt.join(repeated, [key, "salt"]).drop("salt")
+
+
+def hot_keys(df: DataFrame, key: str) -> DataFrame:
+    """The keys of more than HOT rows, counted with partial sums: key, rows."""
+    return written(df.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > HOT), "hot")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have (names compare without case)."""
     have = {c.lower() for c in df.columns}

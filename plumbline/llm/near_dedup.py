@@ -7,8 +7,8 @@
    probability of (1 - 0.8^6)^42 < 3e-6.
 3. In the first wave each class is compared with one pivot (of the buckets it shares, the member with the most
    neighbours), and the two of each bucket of two with each other. In the second wave the larger buckets that still
-   hold different components are compared, in blocks of bounded size; pairs inside one component are skipped, so a
-   group of copies isn't expanded into all its pairs.
+   hold different components are compared, in blocks of bounded size; pairs inside one component are skipped and a
+   bucket's largest component isn't compared with itself, so a group of copies isn't expanded into all its pairs.
 4. Comparing is sequential: signatures are compared in batches, and a pair is dropped as soon as the posterior
    probability (uniform prior) that its similarity reaches the threshold falls below MISS.
 5. Survivors are verified on the full sets. Components of the verified links are the groups.
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, fresh, written
+from .common import HOT, bounded_broadcast, dealt_join, fresh, hot_keys, written
 from .components import components
 
 THRESHOLD = 0.8
@@ -131,6 +131,12 @@ def document_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> Da
     return d.mapInArrow(run, "id bigint, n bigint, set_digest binary, sig binary")
 
 
+def _with_both(pairs: DataFrame, of_u: DataFrame, of_v: DataFrame) -> DataFrame:
+    """pairs (written; u, v) with the rows of both ends; a pivot of many pairs is dealt over several tasks."""
+    one = dealt_join(pairs, of_u, "u", "v", hot_keys(pairs, "u"))
+    return dealt_join(one, of_v, "v", "u", hot_keys(pairs, "v"))
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (u, v) of classes whose full sets are similar enough."""
     need = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
@@ -151,17 +157,17 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     texts = d.join(ids, F.col("id").eqNullSafe(F.col("need_id")), "left_semi").select("text")
     sets = texts.mapInArrow(run, "set_digest binary, members array<bigint>").join(bounded_broadcast(need.select("node", "set_digest")), "set_digest").select("node", "members")
     sets = written(sets.dropDuplicates(["node"]), "sets")  # rows of one class have equal sets: any of them will do
-    both = pairs.join(sets.toDF("u", "mu"), "u").join(sets.toDF("v", "mv"), "v")
+    both = _with_both(pairs.select("u", "v"), sets.toDF("u", "mu"), sets.toDF("v", "mv"))
     shared = F.size(F.array_intersect("mu", "mv"))
     return both.select("u", "v", shared.alias("s"), (F.size("mu") + F.size("mv")).alias("t")).where(F.col("s") * 100 >= percent * (F.col("t") - F.col("s"))).select("u", "v")
 
 
-def _pivots(shared: DataFrame) -> DataFrame:
+def _pivots(shared: DataFrame, hot: DataFrame) -> DataFrame:
     """u, v: each class and, of the buckets it is in, the member with the most neighbours; and the members of buckets of two."""
     weight = shared.groupBy("node").agg(F.sum("members").alias("weight"))
     at = shared.join(weight, "node")
     top = at.groupBy("band_key").agg(F.max(F.struct("weight", "node")).alias("top"))
-    best = at.join(top, "band_key").groupBy("node").agg(F.max("top").alias("top"))
+    best = dealt_join(at.select("node", "band_key"), top, "band_key", "node", hot).groupBy("node").agg(F.max("top").alias("top"))
     star = best.select(F.col("node").alias("u"), F.col("top.node").alias("v")).where("u <> v")
     twos = shared.where("members = 2").groupBy("band_key").agg(F.min("node").alias("u"), F.max("node").alias("v")).select("u", "v")
     return star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).union(twos).distinct()
@@ -177,21 +183,28 @@ def _compare_pivots(pairs: DataFrame, classes: DataFrame, threshold: float) -> D
             yield batch.select(["u", "v"]).take(pa.array(surviving(s, t, i, i, threshold)))
 
     c = classes.select("node", "sig", "n")
-    both = pairs.join(c.toDF("u", "su", "nu"), "u").join(c.toDF("v", "sv", "nv"), "v")
+    both = _with_both(pairs, c.toDF("u", "su", "nu"), c.toDF("v", "sv", "nv"))
     both = both.where(F.least("nu", "nv") >= F.greatest("nu", "nv") * F.lit(threshold - 1e-9))
     return both.select("u", "v", "su", "sv").mapInArrow(run, "u bigint, v bigint")
 
 
-def _compare_buckets(shared: DataFrame, classes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """u, v: surviving pairs of different components that share a bucket; each pair is tested in its first bucket only."""
-    at = shared.where("members > 2").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = at.groupBy("band_key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band_key")
-    at = at.join(mixed, "band_key")
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    at = at.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    at = at.select("node", "component", "band", "band_key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    at = at.join(classes.select("node", "sig", "n"), "node")
+def _compare_buckets(shared: DataFrame, classes: DataFrame, labels: DataFrame, hot: DataFrame, threshold: float) -> DataFrame:
+    """u, v: surviving pairs of different components that share a bucket; each pair is tested in its first bucket only.
+
+    A bucket's largest component needs no comparing within itself. The other members, the rest, are cut into blocks
+    0..r-1 and the largest component into blocks from r on; a task compares one block of the rest with another block,
+    so a bucket of one large group and few others costs a copy or two of each row.
+    """
+    at = shared.where("members > 2").join(labels, "node", "left").select("node", "band", "band_key", F.coalesce("component", "node").alias("component"))
+    sizes = at.groupBy("band_key", "component").agg(F.count(F.lit(1)).alias("n"))
+    top = sizes.groupBy("band_key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total")).where("top.n < total")
+    blocks = lambda rows: F.ceil(rows / F.lit(BLOCK)).cast("int")
+    top = top.select("band_key", F.col("top.component").alias("largest"), blocks(F.col("total") - F.col("top.n")).alias("r"), blocks(F.col("top.n")).alias("g"))
+    at = dealt_join(at, top, "band_key", "node", hot).join(classes.select("node", "sig", "n"), "node")
+    rest, h = F.col("component") != F.col("largest"), F.xxhash64("node")
+    at = at.withColumn("own", F.when(rest, F.pmod(h, F.col("r"))).otherwise(F.col("r") + F.pmod(h, F.col("g"))).cast("int"))
+    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(rest, F.col("r") + F.col("g")).otherwise(F.col("r")) - 1)))
+    at = at.select("node", "component", "band", "band_key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "sig", "n")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         node, comp, n = (pdf[c].to_numpy() for c in ("node", "component", "n"))
@@ -226,11 +239,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = THRESHOL
     classes = rows.where("n > 0").groupBy("set_digest").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # written, so the numbers stay
     bands = classes.select("node", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(sig, b * {ROWS} + 1, {ROWS})))")).alias("band", "band_key"))
-    full = bands.groupBy("band_key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = written(bands.join(full, "band_key"), "shared")
-    links = written(_verified(written(_compare_pivots(_pivots(shared), classes, threshold), "pivoted"), classes, docs, width, percent, id_col, text_col), "links")
+    full = written(bands.groupBy("band_key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "buckets")
+    hot = written(full.where(F.col("members") > HOT).select("band_key", F.col("members").alias("rows")), "hot")
+    shared = written(dealt_join(bands, full, "band_key", "node", hot), "shared")
+    pairs = written(_pivots(shared, hot), "pivots")
+    links = written(_verified(written(_compare_pivots(pairs, classes, threshold), "pivoted"), classes, docs, width, percent, id_col, text_col), "links")
     labels = components(links)
-    rest = written(_compare_buckets(shared, classes, labels, threshold), "compared")
+    rest = written(_compare_buckets(shared, classes, labels, hot, threshold), "compared")
     more = written(_verified(rest, classes, docs, width, percent, id_col, text_col), "links")
     if more.count():
         labels = components(links.union(more))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import components, decontamination, fingerprints, mixing, near_dedup, pii, quality, queries, sharding, tokens, url_filter, warc
+from plumbline.llm import common, components, decontamination, fingerprints, mixing, near_dedup, pii, quality, queries, sharding, tokens, url_filter, warc
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 ODD = [(1, None, "en", "a", None), (2, "", "en", None, 0), (3, "word", None, "a", 4), (3, "word", None, "a", 4), (None, "one two three four five six", "en", "b", 27), (5, "x" * 60_000, "en", "b", 60_000), (6, " \n\t ", "en", "b", 4)]
@@ -341,8 +341,15 @@ def test_near_duplicates_equal_brute_force(spark, documents):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
-def test_pairs_beside_a_large_group(spark):
-    """Each pair shares bands with a large group that it isn't linked with: the group's pivot must not hide the pair."""
+@pytest.mark.parametrize(("hot", "block"), [(common.HOT, near_dedup.BLOCK), (5, 8)])
+def test_pairs_beside_a_large_group(spark, monkeypatch, hot, block):
+    """Each pair shares bands with a large group that it isn't linked with: the group's pivot must not hide the pair.
+
+    With small bounds, buckets and pivots are dealt over tasks and cut into many blocks.
+    """
+    for module in (common, near_dedup):
+        monkeypatch.setattr(module, "HOT", hot)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rng = np.random.default_rng(5)
     texts = edited_group(50, 80)
     base = texts[0].split()
