@@ -193,15 +193,18 @@ def _compare_buckets(shared: DataFrame, classes: DataFrame, labels: DataFrame, h
 
     A bucket's largest component needs no comparing within itself. The other members, the rest, are cut into blocks
     0..r-1 and the largest component into blocks from r on; a task compares one block of the rest with another block,
-    so a bucket of one large group and few others costs a copy or two of each row.
+    so a bucket of one large group and few others costs a copy or two of each row. A bucket of up to BLOCK members is
+    one block.
     """
     at = shared.where("members > 2").join(labels, "node", "left").select("node", "band", "band_key", F.coalesce("component", "node").alias("component"))
     sizes = at.groupBy("band_key", "component").agg(F.count(F.lit(1)).alias("n"))
     top = sizes.groupBy("band_key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total")).where("top.n < total")
     blocks = lambda rows: F.ceil(rows / F.lit(BLOCK)).cast("int")
-    top = top.select("band_key", F.col("top.component").alias("largest"), blocks(F.col("total") - F.col("top.n")).alias("r"), blocks(F.col("top.n")).alias("g"))
+    small = F.col("total") <= BLOCK  # one block of all members: two tasks would cost more than they spare
+    r, g = F.when(small, 1).otherwise(blocks(F.col("total") - F.col("top.n"))), F.when(small, 0).otherwise(blocks(F.col("top.n")))
+    top = top.select("band_key", F.col("top.component").alias("largest"), r.alias("r"), g.alias("g"))
     at = dealt_join(at, top, "band_key", "node", hot).join(classes.select("node", "sig", "n"), "node")
-    rest, h = F.col("component") != F.col("largest"), F.xxhash64("node")
+    rest, h = (F.col("component") != F.col("largest")) | (F.col("g") == 0), F.xxhash64("node")
     at = at.withColumn("own", F.when(rest, F.pmod(h, F.col("r"))).otherwise(F.col("r") + F.pmod(h, F.col("g"))).cast("int"))
     at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(rest, F.col("r") + F.col("g")).otherwise(F.col("r")) - 1)))
     at = at.select("node", "component", "band", "band_key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "sig", "n")
