@@ -17,7 +17,7 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+IBAN = r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9_])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
 BASE = ("email", "ip", "card", "phone")
@@ -88,33 +88,37 @@ def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def oracle_sql() -> str:
-    """The same in DuckDB: plain patterns (its matcher is linear) and list functions."""
+    """The same in DuckDB: plain patterns (its matcher is linear and knows no look-behind) and list functions."""
     plain = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
         "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
         "card": r"[0-9](?:[\x20-]?[0-9])+",
         "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
         "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
-        "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+        "ssn": r"[0-9-]+",  # whole runs of digits and hyphens: those of the right form have neither beside them
     }
-    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    digits, bare = "regexp_replace(m, '[^0-9]', '', 'g')", "replace(m, ' ', '')"
+    turned = f"string_split(substr({bare}, 5) || substr({bare}, 1, 4), '')"
     valid = {
         "email": "true",
         "ip": r"regexp_full_match(m, '(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){4}')",
         "card": f"CASE WHEN length({digits}) BETWEEN 13 AND 19 THEN list_sum([CASE WHEN i % 2 = 1 THEN c::int ELSE c::int * 2 - (CASE WHEN c::int > 4 THEN 9 ELSE 0 END) END for c, i in string_split(reverse({digits}), '')]) % 10 = 0 ELSE false END",
         "phone": f"length({digits}) BETWEEN 9 AND 15",
-        "iban": "(SELECT false)",
-        "ssn": "false",
+        "iban": f"length({bare}) BETWEEN 15 AND 34 AND list_reduce(list_concat([0], list_transform({turned}, lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c::int ELSE ascii(c) - 55 END)), lambda a, x: (CASE WHEN x < 10 THEN a * 10 ELSE a * 100 END + x) % 97) = 1",
+        "ssn": r"regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND NOT regexp_matches(m, '^(?:000|666|9)|-00-|0000$')",
     }
     ctes, lists = ["d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)"], []
-    for k in BASE:
-        ctes.append(f"{k}_0 AS (SELECT doc_id, regexp_extract_all(t, '{plain[k]}') AS ms, regexp_split_to_array(t, '{plain[k]}') AS gs FROM d)")
+    for i, k in enumerate(KINDS):
+        score, words = SCORES[k]
+        near = f"regexp_matches(lower(substr(t, greatest(s - {CONTEXT}, 0) + 1, least(s, {CONTEXT}))), '{words}')"
+        stays = "true" if k in BASE else f"{score} + CASE WHEN {near} THEN {RAISE} ELSE 0 END >= {ACCEPT}"
+        ctes.append(f"{k}_0 AS (SELECT doc_id, t, regexp_extract_all(t, '{plain[k]}') AS ms, regexp_split_to_array(t, '{plain[k]}') AS gs FROM d)")
         ctes.append(
-            f"{k}_1 AS (SELECT doc_id, unnest(ms) AS m, unnest(list_transform(range(1, len(ms) + 1), lambda j: list_sum(list_transform(gs[1:j], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:j-1], lambda q: length(q))), 0))) AS s FROM {k}_0 WHERE len(ms) > 0)"
+            f"{k}_1 AS (SELECT doc_id, t, unnest(ms) AS m, unnest(list_transform(range(1, len(ms) + 1), lambda j: list_sum(list_transform(gs[1:j], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:j-1], lambda q: length(q))), 0)))::bigint AS s FROM {k}_0 WHERE len(ms) > 0)"
         )
-        ctes.append(f"{k}_2 AS (SELECT doc_id, '{k}' AS kind, {BASE.index(k)} AS o, s::bigint AS s, s::bigint + length(m) AS e FROM {k}_1 WHERE {valid[k]})")
+        ctes.append(f"{k}_2 AS (SELECT doc_id, '{k}' AS kind, {i} AS o, s, s + length(m) AS e FROM {k}_1 WHERE {valid[k]} AND {stays})")
         lists.append(f"SELECT * FROM {k}_2")
+    listed = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s)"
     return f"""WITH {', '.join(ctes)}, a AS ({' UNION ALL '.join(lists)}),
-    g AS (SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) AS sp FROM a GROUP BY doc_id)
-    SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0)::bigint AS n_{k}' for k in BASE)}, 0::bigint AS n_iban, 0::bigint AS n_ssn,
-    sha256(coalesce(sp, '')) AS base_sha256, coalesce(sp, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
+    g AS (SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS)}, {listed} FILTER (o < {len(BASE)}) AS base, {listed} AS sp FROM a GROUP BY doc_id)
+    SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0)::bigint AS n_{k}' for k in KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(sp, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""

@@ -74,6 +74,19 @@ def test_pii_checksums_and_context(spark, odd, empty):
     assert pii.pii_report(odd).count() == len(ODD) and pii.pii_report(empty).count() == 0
 
 
+def test_pii_sql_finds_the_same(spark):
+    duckdb = pytest.importorskip("duckdb")
+    added = ["IBAN DE89 3704 0044 0532 0130 00 ok", "DE89370400440532013001 GB82WEST12345698765432.", "ssn 123-45-6789 and 987-65-4321, 000-12-3456", "part 123-45-6789", "SSN 123-45-6789-1 social 1123-45-6789 123-45-6789", "x_GB82WEST12345698765432 éGB82WEST12345698765432é"]
+    docs = list(enumerate([*TRICKY, *added, None, ""]))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    rows = pii.pii_report(df)
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    want = con.execute(pii.oracle_sql()).df()[rows.columns].sort_values("doc_id").values.tolist()
+    assert [list(r) for r in rows.orderBy("doc_id").collect()] == want
+    assert sum(r[5] for r in want) == 3 and sum(r[6] for r in want) == 2
+
+
 # decontamination
 
 
