@@ -282,3 +282,19 @@ def deduplicate(docs: DataFrame, width: int = 5, threshold: float = THRESHOLD, i
     again = out.join(several, F.col(id_col).cast("bigint") == F.col(gone), "left_semi").withColumn(digest, F.xxhash64(text_col))
     again = again.withColumn(rank, F.row_number().over(Window.partitionBy(id_col).orderBy(digest)))
     return alone.unionByName(again.where(F.col(rank) == 1).drop(rank, digest))
+
+
+def oracle_sql(width: int = 4, percent: int = 80) -> str:
+    """Brute force in DuckDB: all pairs that share a shingle, and the transitive closure of the links."""
+    grams = f"CASE WHEN len(ws) < {width} THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - {width - 2}), lambda i: array_to_string(ws[i:i + {width - 1}], ' ')) END"
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    t AS (SELECT doc_id, ws, min(doc_id) OVER (PARTITION BY ws) AS first FROM w),
+    g AS (SELECT DISTINCT doc_id, unnest({grams}) AS s FROM t WHERE doc_id = first AND len(ws) > 0),
+    n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+    l AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+    e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+    r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.v FROM r JOIN e ON r.b = e.u),
+    m AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+    SELECT t.doc_id, coalesce(n, 0)::bigint AS n_shingles, coalesce(m.b, t.doc_id) AS component_id, coalesce(m.b, t.doc_id) = t.doc_id AS kept
+    FROM t LEFT JOIN n ON n.doc_id = t.first AND len(ws) > 0 LEFT JOIN m ON m.a = t.first AND len(ws) > 0"""

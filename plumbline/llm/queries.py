@@ -80,4 +80,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filter": url_filter.oracle_sql(),
         "op5_warc": warc.oracle_sql(),
         "op7_mixing": mixing.oracle_sql(),
+        "op9_near_dedup": near_dedup.oracle_sql(),
     }
