@@ -286,6 +286,33 @@ def scc_cycles(spark, d):
     return graph.number_cycles(graph.strong_components(_follows(spark, d)))
 
 
+_REACH_SQL = """WITH RECURSIVE e AS ({}), r(a, b) AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src),
+    m AS (SELECT x.a AS node, least(x.a, min(x.b)) AS low FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a)"""
+_ALL_FOLLOWS_SQL = "SELECT DISTINCT src, user_id AS dst FROM (SELECT lag(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS src, user_id FROM events) WHERE src IS NOT NULL"
+
+
+@query(f"{_REACH_SQL.format(_ALL_FOLLOWS_SQL)} SELECT node, dense_rank() OVER (ORDER BY low)::int AS cycle FROM m")
+def scc_all_follows(spark, d):
+    """All transitions of events, whatever their value."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    e = _t(spark, d, "events").select(F.lag("user_id").over(w).alias("src"), F.col("user_id").alias("dst"))
+    return graph.number_cycles(graph.strong_components(graph.distinct_edges(e.where("src is not null"))))
+
+
+_TURNS_SQL = "SELECT DISTINCT a.conv_id || ':' || a.role AS src, b.conv_id || ':' || b.role AS dst FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
+
+
+@query(f"{_REACH_SQL.format(_TURNS_SQL)} SELECT node, low AS cycle_min FROM m")
+def scc_turns(spark, d):
+    """A graph of many components: a role of a conversation -> the role of the next turn."""
+    t = _t(spark, d, "conversations").select("conv_id", "turn", "role").distinct()
+    name = lambda x: F.concat(F.col(f"{x}.conv_id").cast("string"), F.lit(":"), F.col(f"{x}.role"))
+    j = t.alias("a").join(t.alias("b"), F.expr("a.conv_id = b.conv_id and b.turn = a.turn + 1"))
+    return graph.strong_components(graph.distinct_edges(j.select(name("a").alias("src"), name("b").alias("dst"))))
+
+
 @query("SELECT p_partkey, EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey) AS parsed FROM part")
 def parsed_flag(spark, d):
     p, l = _t(spark, d, "part").select("p_partkey"), _t(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("parsed", F.lit(True))  # noqa: E741

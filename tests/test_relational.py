@@ -134,6 +134,39 @@ def test_large_ring(spark):
     assert tuple(got) == (n, 0)
 
 
+def brute_cycles(edges):
+    """node -> the smallest node of its component, for components of more than one node, by plain reachability."""
+    reach = {}
+    for n in {x for e in edges for x in e}:
+        seen, todo = set(), [n]
+        while todo:
+            x = todo.pop()
+            new = {b for a, b in edges if a == x} - seen
+            seen |= new
+            todo += new
+        reach[n] = seen
+    return {n: min(c) for n in reach if len(c := {n} | {x for x in reach[n] if n in reach[x]}) > 1}
+
+
+def test_cycles_of_whole_tables(spark, tmp_path):
+    """All transitions count, those of low values too: without them no cycle is left here but one."""
+    from plumbline.plans import catalog
+
+    rng = random.Random(3)
+    events = [(i, t, i, u, 250.0 if u > 14 else 1.0) for t, users in enumerate(([1, 2, 3, 1], [4, 5, 4], [6, 7, 8], [15, 16, 15], [rng.randint(20, 60) for _ in range(50)])) for i, u in enumerate(users)]
+    spark.createDataFrame([(100 * t + i, f"k{t}", ts, u, v) for i, t, ts, u, v in events], "event_id bigint, event_type string, ts bigint, user_id bigint, value double").write.parquet(f"{tmp_path}/events.parquet")
+    edges = {(a[3], b[3]) for a, b in zip(events, events[1:]) if a[1] == b[1]}
+    want = brute_cycles(edges)
+    low = sorted(set(want.values()))
+    assert {r.node: r.cycle for r in catalog.queries()["scc_all_follows"](spark, str(tmp_path)).collect()} == {n: low.index(c) + 1 for n, c in want.items()}
+    assert {1, 4, 15} <= set(low) and 6 not in want
+
+    turns = [(c, t, rng.choice("abcd")) for c in range(40) for t in range(rng.randint(1, 8))]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = brute_cycles({(f"{a[0]}:{a[2]}", f"{b[0]}:{b[2]}") for a, b in zip(turns, turns[1:]) if a[0] == b[0]})
+    assert {r.node: r.cycle_min for r in catalog.queries()["scc_turns"](spark, str(tmp_path)).collect()} == want and len(set(want.values())) > 9
+
+
 def test_ranges(spark):
     spans = spark.createDataFrame([("f", 1, 10, 20), ("f", 2, 20, 30), ("f", 3, 5, 11), ("g", 4, 10, 20)], "k string, id int, b int, e int")
     marks = spark.createDataFrame([("f", 20), ("f", 10), ("f", 25)], "k string, at int")
