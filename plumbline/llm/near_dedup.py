@@ -235,8 +235,8 @@ def _compare_buckets(shared: DataFrame, classes: DataFrame, labels: DataFrame, h
     return at.groupBy("band_key", "lo", "hi").applyInPandas(run, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id, kept, set_digest for each row."""
+def _grouped(docs: DataFrame, width: int, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows' sets (see document_sets), and set_digest, first_id, component of each class."""
     percent = round(threshold * 100)
     rows = written(document_sets(docs, width, id_col, text_col), "rows")
     classes = rows.where("n > 0").groupBy("set_digest").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
@@ -252,7 +252,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = THRESHOL
     more = written(_verified(rest, classes, docs, width, percent, id_col, text_col), "links")
     if more.count():
         labels = components(links.union(more))
-    named = classes.join(labels, "node", "left").select("set_digest", "first_id", F.coalesce("component", "node").alias("component"))
+    return rows, classes.join(labels, "node", "left").select("set_digest", "first_id", F.coalesce("component", "node").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id, kept, set_digest for each row."""
+    rows, named = _grouped(docs, width, threshold, id_col, text_col)
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("size"))
     # only classes that aren't alone with their own id need a join with the rows
     named = named.join(least, "component").select("set_digest", "component_id", F.col("first_id").alias("own_id"))
@@ -261,27 +266,51 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = THRESHOL
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.col("n") == 0).alias("kept"), "set_digest")
 
 
+def _numbered(docs: DataFrame, number: str, digest: str, order: str, width: int, text_col: str) -> DataFrame:
+    """docs, written, with a number, the set's digest (null without words) and a hash of the text and the other columns."""
+
+    @F.pandas_udf("binary")
+    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = _Words()
+        for texts in batches:
+            sets = (shingles(t, width, known) for t in texts)
+            yield pd.Series([xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets], dtype=object)
+
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    hashes = F.struct(F.xxhash64(text_col), F.xxhash64(*plain))
+    return written(docs.withColumns({number: F.monotonically_increasing_id(), digest: digests(text_col), order: hashes}), "again")
+
+
 def deduplicate(docs: DataFrame, width: int = 5, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group: that of the smallest id, and of equal ids the first by a hash of the text.
+    """docs with exactly one row of each group: of the class with the smallest id, or else (no row of the group has an
+    id, or ids are equal) with the smallest digest, the row of that id; of several such rows the first by a hash.
 
-    Rows without words belong to no group and stay; so do rows without an id, unless an equal or similar text has one.
+    Ids may repeat or be null; a row is judged by its own text. Rows without words belong to no group and stay.
     """
-    found = written(near_duplicates(docs, width, threshold, id_col, text_col), "found")
-    gone, digest, rank = fresh(docs, "gone_id"), fresh(docs, "row_hash"), fresh(docs, "row_rank")
-    surplus = found.where("n_shingles > 0").groupBy(id_col).agg(F.sum(F.col("kept").cast("int")).alias("k"), F.count(F.lit(1)).alias("n"))
-    surplus = written(surplus, "surplus")
-    drop = written(surplus.where(F.col("k") == 0).select(F.col(id_col).alias(gone)).where(F.col(gone).isNotNull()), "gone")
-    out = docs.join(bounded_broadcast(drop), F.col(id_col).cast("bigint") == F.col(gone), "left_anti")
-    several = written(surplus.where("k > 0 and n > 1").select(F.col(id_col).alias(gone)).where(F.col(gone).isNotNull()), "several")
+    rows, named = _grouped(docs, width, threshold, id_col, text_col)
+    first = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "set_digest")).alias("s")
+    winners = named.groupBy("component").agg(first).select("s.set_digest", F.col("s.first_id").alias("win_id"), F.lit(1).alias("won"))
+    winners = written(winners, "winners")
+    # rows of an id, and how many of them stay: rows of one id and one set count together before they meet the winners
+    sets = rows.groupBy("id", "set_digest").agg(F.count(F.lit(1)).alias("n")).join(winners.withColumnRenamed("set_digest", "win_set"), F.expr("set_digest = win_set and id <=> win_id"), "left")
+    stays = F.when(F.col("set_digest").isNull(), F.col("n")).otherwise(F.coalesce("won", F.lit(0)))
+    ids = written(sets.groupBy("id").agg(F.sum("n").alias("n"), F.sum(stays).alias("k")).where("k < n"), "surplus")
+
+    gone, number, digest, order = (fresh(docs, x) for x in ("gone_id", "row_number", "row_digest", "row_order"))
+    key = F.col(id_col).cast("bigint")
+    drop = written(ids.where("k = 0 and id is not null").select(F.col("id").alias(gone)), "gone")
+    out = docs.join(bounded_broadcast(drop), key == F.col(gone), "left_anti")
+    several = written(ids.where("k > 0 or id is null").select(F.col("id").alias(gone)), "several")
     if not several.count():
         return out
-    from pyspark.sql import Window
-
-    several = bounded_broadcast(several)
-    alone = out.join(several, F.col(id_col).cast("bigint") == F.col(gone), "left_anti")
-    again = out.join(several, F.col(id_col).cast("bigint") == F.col(gone), "left_semi").withColumn(digest, F.xxhash64(text_col))
-    again = again.withColumn(rank, F.row_number().over(Window.partitionBy(id_col).orderBy(digest)))
-    return alone.unionByName(again.where(F.col(rank) == 1).drop(rank, digest))
+    known = bounded_broadcast(several)
+    alone = out.join(known, key.eqNullSafe(F.col(gone)), "left_anti")
+    again = _numbered(out.join(known, key.eqNullSafe(F.col(gone)), "left_semi"), number, digest, order, width, text_col)
+    slim = again.where(F.col(digest).isNotNull()).groupBy(key.alias("id"), F.col(digest).alias("set_digest")).agg(F.min(F.struct(order, number)).alias("s"))
+    slim = slim.join(winners.withColumnRenamed("set_digest", "win_set"), F.expr("set_digest = win_set and id <=> win_id")).select(F.col(f"s.{number}").alias(gone))
+    slim = bounded_broadcast(written(slim, "kept"))
+    kept = again.where(F.col(digest).isNull()).unionByName(again.where(F.col(digest).isNotNull()).join(slim, F.col(number) == F.col(gone), "left_semi"))
+    return alone.unionByName(kept.drop(number, digest, order))
 
 
 def oracle_sql(width: int = 4, percent: int = 80) -> str:

@@ -384,6 +384,33 @@ def test_near_duplicates_odd(spark, odd, empty):
     assert Counter(r.doc_id for r in left.collect()) == Counter({1: 1, 2: 1, 3: 1, None: 1, 5: 1, 6: 1})
 
 
+def test_deduplicate_repeated_and_null_ids(spark):
+    """One row of each group stays, whatever the ids of the rows."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    near = lambda k: f"{text(k)} end"
+    cases = [
+        [(1, text(0)), (1, text(1))],  # one id, texts near nothing
+        [(1, text(0)), (2, near(0)), (2, text(1))],  # the good row of id 2 beside a copy of id 1
+        [(2, text(1)), (1, text(0)), (2, near(0)), (2, text(1))],  # and twice
+        [(None, text(0)), (None, text(0)), (None, near(0)), (None, text(1))],  # copies without ids
+        [(None, text(0)), (5, near(0)), (None, text(2))],  # a copy of a row with an id
+        [(None, text(0)), (5, near(0)), (None, near(0))],  # only copies without an id
+        [(3, text(0)), (3, near(0)), (3, text(0)), (3, ""), (3, None), (None, ""), (None, None)],  # near copies of one id; no words
+        [(4, text(0)), (4, text(0).upper()), (4, "  " + text(0))],  # equal sets, different texts
+    ]
+    # each case has ids and words of its own
+    rows = [(i and i + 100 * c, t and re.sub("(?i)w", f"{c}c", t)) for c, case in enumerate(cases) for i, t in case]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    group = lambda t: t.lower().split()[0] if t else None
+    for parts in (1, 5):
+        got = [(r.doc_id, r.text) for r in near_dedup.deduplicate(df.repartition(parts)).collect()]
+        assert Counter(group(t) for _, t in got if group(t)) == Counter({group(t): 1 for _, t in rows if t})
+        for g in {group(t) for _, t in got if group(t)}:
+            ids = [i for i, t in rows if group(t) == g and i is not None]
+            assert [i for i, t in got if group(t) == g] == [min(ids) if ids else None]
+        assert Counter(x for x in got if not x[1]) == Counter(x for x in rows if not x[1])
+
+
 def test_bayesian_bounds():
     for n in (36, 252, 504):
         m = near_dedup.least_matches(n, 0.8)
