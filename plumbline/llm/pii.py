@@ -17,7 +17,8 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9_])"
+# A start, and beside it (group 1) the longest run that it may go on with; _found tries all ends of groups in it.
+IBAN = r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9_]))"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
 BASE = ("email", "ip", "card", "phone")
@@ -50,15 +51,26 @@ _TYPE = "array<struct<s:int,e:int,m:string>>"
 def _found(kind: str, text: str) -> str:
     """SQL for the matches of one kind with their places, failing ones dropped.
 
-    The gaps that split() leaves and the matches alternate, so running lengths are the places, in code points.
+    The gaps that split() leaves and the matches alternate, so running lengths are the places, in code points. An IBAN
+    ends at the last end of a group where it is valid, and starts behind the one before it.
     """
     pattern = globals()[kind.upper()].replace("\\", "\\\\")
-    return f"""CASE WHEN {_GATE[kind].format(t=text)} THEN filter(aggregate(
-        arrays_zip(split({text}, '{pattern}', -1), regexp_extract_all({text}, '{pattern}', 0)),
+    more = f", regexp_extract_all({text}, '{pattern}', 1)" if kind == "iban" else ""
+    match = "concat(x.`1`, x.`2`)" if more else "x.`1`"
+    spans = f"""aggregate(
+        arrays_zip(split({text}, '{pattern}', -1), regexp_extract_all({text}, '{pattern}', 0){more}),
         named_struct('p', 0, 'o', cast(array() AS {_TYPE})),
         (a, x) -> if(x.`1` is null, a, named_struct('p', a.p + length(x.`0`) + length(x.`1`), 'o', concat(a.o, array(
-            named_struct('s', a.p + length(x.`0`), 'e', a.p + length(x.`0`) + length(x.`1`), 'm', x.`1`))))),
-        a -> a.o), x -> {_VALID[kind]}) ELSE cast(array() AS {_TYPE}) END"""
+            named_struct('s', a.p + length(x.`0`), 'e', a.p + length(x.`0`) + length(x.`1`), 'm', {match}))))),
+        a -> a.o)"""
+    if more:
+        ends = "transform(sequence(size(split(y.m, ' ')), 1, -1), k -> array_join(slice(split(y.m, ' '), 1, k), ' '))"
+        ends = f"transform({ends}, m -> named_struct('s', y.s, 'e', y.s + length(m), 'm', m))"
+        spans = f"flatten(transform({spans}, y -> slice(filter({ends}, x -> {_VALID[kind]}), 1, 1)))"
+        spans = f"aggregate({spans}, cast(array() AS {_TYPE}), (a, x) -> if(x.s < coalesce(try_element_at(a, -1).e, 0), a, concat(a, array(x))))"
+    else:
+        spans = f"filter({spans}, x -> {_VALID[kind]})"
+    return f"CASE WHEN {_GATE[kind].format(t=text)} THEN {spans} ELSE cast(array() AS {_TYPE}) END"
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -74,6 +74,15 @@ def test_pii_checksums_and_context(spark, odd, empty):
     assert pii.pii_report(odd).count() == len(ODD) and pii.pii_report(empty).count() == 0
 
 
+def test_iban_before_capitals_and_digits(spark):
+    """A word of capitals or digits behind an IBAN, or a false start before it, doesn't hide it."""
+    one, two = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    texts = [f"IBAN {one} BIC COBADEFFXXX", f"{two} EUR 50", f"{two} 2024 paid", f"AB12 {two} EUR", f"𝒳 {one} {two} BIC", f"{one}X {one[:-1]}1 EUR 50"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "iban"] for r in pii.find_pii(df).collect()}
+    assert got == {0: [one], 1: [two], 2: [two], 3: [two], 4: [one, two], 5: []}
+
+
 def test_pii_sql_finds_the_same(spark):
     duckdb = pytest.importorskip("duckdb")
     added = ["IBAN DE89 3704 0044 0532 0130 00 ok", "DE89370400440532013001 GB82WEST12345698765432.", "ssn 123-45-6789 and 987-65-4321, 000-12-3456", "part 123-45-6789", "SSN 123-45-6789-1 social 1123-45-6789 123-45-6789", "x_GB82WEST12345698765432 éGB82WEST12345698765432é"]
