@@ -59,6 +59,11 @@ def percent_text(part: float, all_: float) -> str:
     return "n/a" if not all_ else f"{100.0 * part / all_:.1f} %"
 
 
+def percent_shown(part: Column, all_: Column) -> Column:
+    """`percent_text` as a column."""
+    return F.when(all_ == 0, "n/a").otherwise(F.concat(F.format_number(F.try_divide(part * F.lit(100.0), all_), 1), F.lit(" %")))
+
+
 def doc_style(comment: Column) -> Column:
     doxygen = (comment.startswith("///") & ~comment.startswith("////")) | comment.startswith("//!") | (comment.startswith("/**") & ~comment.startswith("/**/")) | comment.startswith("/*!")
     return F.when(comment.isNull() | (comment == ""), "none").when(doxygen, "doxygen").otherwise("plain")

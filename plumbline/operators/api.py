@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import doc_style, percent_or_zero
-from .ranges import gap_free, in_ranges
+from .ranges import in_ranges, with_gap
 from .stats import with_total
 
 
@@ -14,14 +14,12 @@ def attach(declarations: DataFrame, siblings: DataFrame, keys: list[str]) -> Dat
     """declarations (keys, begin, comment, comment_end, trailing) with `style`.
 
     A trailing comment always belongs; one before belongs unless a sibling's name (keys, name_at) stands strictly
-    between the comment's end and the declaration's start.
+    between the comment's end and the declaration's start. Rows stay as they are: those that begin at one place, as the
+    names of `int a, b;` do, and repeated ones too.
     """
-    before = declarations.where("comment is not null and not trailing")
-    free = gap_free(before, siblings, keys, "comment_end", "begin", "name_at").withColumn("style", doc_style(F.col("comment")))
-    held = before.select(*keys, "begin").join(free.select(*keys, "begin"), [*keys, "begin"], "left_anti").withColumn("style", F.lit("none"))
-    rest = declarations.where("comment is null or trailing").withColumn("style", doc_style(F.col("comment")))
-    known = free.select(*keys, "begin", "style").unionByName(held).unionByName(rest.select(*keys, "begin", "style"))
-    return declarations.join(known, [*keys, "begin"])
+    free = F.col("trailing") | F.col("gap_free")
+    out = with_gap(declarations, siblings, keys, "comment_end", "begin", "name_at")
+    return out.withColumn("style", F.when(F.col("comment").isNull() | free, doc_style(F.col("comment"))).otherwise("none")).drop("gap_free")
 
 
 def not_contained(types: DataFrame, typedefs: DataFrame, keys: list[str], at: str = "begin", begin: str = "begin", end: str = "end") -> DataFrame:

@@ -27,6 +27,8 @@ def _kept(df: DataFrame) -> DataFrame:
 
 def _folder(spark: SparkSession) -> None:
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         path = "file://" + tempfile.mkdtemp(prefix=f"graph-{uuid.uuid4().hex[:6]}-")
@@ -180,8 +182,12 @@ def strong_components(edges: DataFrame, trim_rounds: int = 2, task_edges: int =
 
 
 def number_cycles(members: DataFrame) -> DataFrame:
-    """node, cycle: cycles numbered from 1 in the order of their smallest members. Only the cycles' minima are sorted together."""
-    numbers = members.select("cycle_min").distinct().withColumn("cycle", F.row_number().over(Window.orderBy("cycle_min")))
+    """node, cycle: cycles numbered from 1 in the order of their smallest members, which are ranked range by range."""
+    ranges = _kept(members.select("cycle_min").distinct().repartitionByRange("cycle_min").withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    start = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy("cycle_min"))
+    numbers = ranges.join(F.broadcast(start), "_range").select("cycle_min", (F.col("_start") + rank).cast("int").alias("cycle"))
     return members.join(numbers, "cycle_min").select("node", "cycle")
 
 

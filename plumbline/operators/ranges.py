@@ -6,15 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def gap_free(spans: DataFrame, marks: DataFrame, keys: list[str], begin: str, end: str, at: str) -> DataFrame:
-    """Spans without a mark strictly between begin and end: the largest mark below end isn't above begin."""
+def with_gap(spans: DataFrame, marks: DataFrame, keys: list[str], begin: str, end: str, at: str) -> DataFrame:
+    """spans with `gap_free`: no mark strictly between begin and end, as the largest mark below end isn't above begin.
+
+    Repeated spans stay, each with its flag; one without a begin or an end is free.
+    """
     cols = spans.columns
     s = spans.select(*keys, F.col(end).alias("_at"), F.struct(*cols).alias("_span"))
     m = marks.select(*keys, F.col(at).alias("_at"), F.lit(None).cast(s.schema["_span"].dataType).alias("_span"))
     before = Window.partitionBy(*keys).orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
     last = F.max(F.when(F.col("_span").isNull(), F.col("_at"))).over(before)
     out = s.unionByName(m).withColumn("_last", last).where(F.col("_span").isNotNull())
-    return out.where(F.col("_last").isNull() | (F.col("_last") <= F.col(f"_span.{begin}"))).select("_span.*")
+    return out.select("_span.*", F.coalesce(F.col("_last") <= F.col(f"_span.{begin}"), F.lit(True)).alias("gap_free"))
+
+
+def gap_free(spans: DataFrame, marks: DataFrame, keys: list[str], begin: str, end: str, at: str) -> DataFrame:
+    """Spans without a mark strictly between begin and end."""
+    return with_gap(spans, marks, keys, begin, end, at).where("gap_free").drop("gap_free")
 
 
 def in_ranges(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, begin: str, end: str, strict: bool = False) -> DataFrame:
@@ -33,20 +41,21 @@ def in_ranges(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, be
     return out.where(F.col("_point").isNotNull()).select("_point.*", "covered")
 
 
+def _with_count(points: DataFrame, marks: DataFrame, keys: list[str], at: str, mark: str, through: bool, name: str) -> DataFrame:
+    """points with `name`: how many marks of the same keys stand below `at`, or at it too (through)."""
+    p = points.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_rank"), F.lit(0).alias("_step"), F.struct(*points.columns).alias("_point"))
+    m = marks.select(*keys, F.col(mark).alias("_at"), F.lit(0 if through else 2).alias("_rank"), F.lit(1).alias("_step"), F.lit(None).cast(p.schema["_point"].dataType).alias("_point"))
+    running = Window.partitionBy(*keys).orderBy("_at", "_rank").rowsBetween(Window.unboundedPreceding, 0)
+    out = p.unionByName(m).withColumn(name, F.sum("_step").over(running))
+    return out.where(F.col("_point").isNotNull()).select("_point.*", name)
+
+
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str], begin: str, end: str) -> DataFrame:
     """left with `overlaps`: whether a range of right of the same keys has a.begin < b.end and b.begin < a.end.
 
-    The number of right ranges that begin below a.end, less those that end at or below a.begin.
+    The number of right ranges that begin below a.end, less those that end at or below a.begin. Ranges of left must have
+    begin <= end; repeated rows stay. Both counts run over one partitioning by the keys.
     """
-    rid = left.withColumn("_id", F.xxhash64(*left.columns))
-    ones = lambda df, col, rank, step: df.select(*keys, F.col(col).alias("_at"), F.lit(rank).alias("_rank"), F.lit(step).alias("_b"))
-    none = F.lit(None).cast(rid.select(F.struct("*").alias("x")).schema["x"].dataType)
     r = right.where(F.col(begin) < F.col(end))
-    marks = ones(r, begin, 1, 1).withColumn("_e", F.lit(0)).unionByName(ones(r, end, 0, 0).withColumn("_e", F.lit(1))).withColumn("_row", none).withColumn("_side", F.lit(0))
-    at = lambda col, rank, side: rid.select(*keys, F.col(col).alias("_at"), F.lit(rank).alias("_rank"), F.lit(0).alias("_b"), F.lit(0).alias("_e"), F.struct("*").alias("_row"), F.lit(side).alias("_side"))
-    running = Window.partitionBy(*keys).orderBy("_at", "_rank").rowsBetween(Window.unboundedPreceding, 0)
-    # at a.end, ranges that begin there aren't below it (rank 0.. before 1); at a.begin, those that end there count
-    both = marks.unionByName(at(end, 0, 1)).unionByName(at(begin, 1, 2))
-    both = both.withColumns({"_began": F.sum("_b").over(running), "_ended": F.sum("_e").over(running)}).where("_side > 0")
-    out = both.groupBy(*keys, "_row").agg(F.max(F.when(F.col("_side") == 1, F.col("_began"))).alias("_began"), F.max(F.when(F.col("_side") == 2, F.col("_ended"))).alias("_ended"))
-    return out.select("_row.*", (F.col("_began") > F.col("_ended")).alias("overlaps")).drop("_id")
+    began = _with_count(left, r, keys, end, begin, False, "_began")
+    return _with_count(began, r, keys, begin, end, True, "_ended").withColumn("overlaps", F.col("_began") > F.col("_ended")).drop("_began", "_ended")

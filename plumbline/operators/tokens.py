@@ -11,21 +11,26 @@ from ..functions.measures import token_role
 DECISIONS = ("if", "for", "while", "do", "case", "catch", "&&", "||", "?")
 
 
-def own_tokens(tokens: Column, nested: Column) -> Column:
-    """Tokens outside all nested ranges (struct begin, end): an anti-join within the row."""
-    return F.filter(tokens, lambda t: ~F.exists(nested, lambda r: (t["offset"] >= r["begin"]) & (t["offset"] < r["end"])))
-
-
 def complexity(tokens: Column) -> Column:
     """1 and the confirmed decisions (field construct)."""
     return F.size(F.filter(tokens, lambda t: t["construct"].isin(*DECISIONS))) + 1
 
 
-def halstead(tokens: Column) -> dict[str, Column]:
-    """distinct_operators, distinct_operands, total_operators, total_operands of an array of (kind, spelling)."""
-    roles = F.transform(tokens, lambda t: F.struct(token_role(t["kind"], t["spelling"]).alias("r"), t["spelling"].alias("s")))
-    of = lambda role: F.transform(F.filter(roles, lambda x: x["r"] == role), lambda x: x["s"])
-    return {f"{d}_{r}s": F.size(F.array_distinct(of(r)) if d == "distinct" else of(r)).cast("bigint") for d in ("distinct", "total") for r in ("operator", "operand")}
+COUNTS = ("distinct_operators", "distinct_operands", "total_operators", "total_operands")
+
+
+def with_halstead(df: DataFrame, tokens: str) -> DataFrame:
+    """df with COUNTS of its array of (kind, spelling); zeros for a null or empty array.
+
+    Each token's role is found once, as a letter before its spelling; distinct ones are hashed within the row.
+    """
+    mark = lambda t: F.when(token_role(t["kind"], t["spelling"]) == "operator", F.concat(F.lit("+"), t["spelling"])).when(token_role(t["kind"], t["spelling"]) == "operand", F.concat(F.lit("-"), t["spelling"]))
+    marked = df.withColumn("_marked", F.transform(tokens, mark))
+    both = marked.withColumn("_once", F.array_distinct("_marked"))
+    of = lambda c, sign: F.coalesce(F.size(F.filter(c, lambda x: x.startswith(sign))), F.lit(0)).cast("bigint")
+    some = F.col("_marked").isNotNull()
+    counts = [of("_once", "+"), of("_once", "-"), of("_marked", "+"), of("_marked", "-")]
+    return both.withColumns({k: F.when(some, c).otherwise(0) for k, c in zip(COUNTS, counts, strict=True)}).drop("_marked", "_once")
 
 
 def halstead_by(df: DataFrame, keys: list[str], kind: str, spelling: str) -> DataFrame:

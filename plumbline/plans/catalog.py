@@ -6,9 +6,7 @@ sources, entities of orders and events, graphs of who supplies whom.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import measures, paths
@@ -16,29 +14,9 @@ from ..operators import api as api_ops
 from ..operators import coverage as cov
 from ..operators import dedupe, graph, lines, ranges, stats, summary, tokens, topk
 from ..sources import coverage_files
-
-_REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _REGISTRY[f.__name__] = (f, sql)
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, (f, _) in _REGISTRY.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in _REGISTRY.items() if s}
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
+from ..sources.dealing import dealt
+from .registry import query
+from .registry import table as _t
 
 def _describe_sql(v: str) -> str:
     return (
@@ -356,26 +334,26 @@ def line_kinds(spark, d):
 
 _WORDS = "[A-Za-z]+|[0-9]+|[.,()]"
 _ROLE_SQL = "CASE WHEN t IN ('this', 'true') THEN 'operand' WHEN t IN ('for', 'if', 'or', 'and', 'not') OR t IN ('.', ',', '(') THEN 'operator' WHEN t = ')' THEN 'not_counted' ELSE 'operand' END"
-_H_SQL = f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_WORDS}')) AS t FROM documents), r AS (SELECT doc_id, t, {_ROLE_SQL} AS role FROM t),
+_H_SQL = f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_WORDS}')) AS t FROM documents), r AS (SELECT doc_id, t, {_ROLE_SQL} AS role FROM t UNION ALL SELECT doc_id, NULL, NULL FROM documents),
     h AS (SELECT doc_id, count(DISTINCT t) FILTER (role = 'operator') AS distinct_operators, count(DISTINCT t) FILTER (role = 'operand') AS distinct_operands,
     count(*) FILTER (role = 'operator') AS total_operators, count(*) FILTER (role = 'operand') AS total_operands FROM r GROUP BY doc_id)"""
 
 
 def _token_arrays(spark, d) -> DataFrame:
     t = F.regexp_extract_all("text", F.lit(_WORDS), F.lit(0))
-    kind = lambda x: F.when(x.isin("this", "true", "for", "if", "or", "and", "not"), "keyword").when(x.rlike("^[0-9]"), "literal").when(x.rlike("^[A-Za-z]"), "identifier").otherwise("punctuation")
-    return _t(spark, d, "documents").select("doc_id", F.transform(t, lambda x: F.struct(kind(x).alias("kind"), x.alias("spelling"), x.alias("construct"))).alias("tokens")).where("size(tokens) > 0")
+    kind = lambda x: F.when(x.isin("this", "true", "for", "if", "or", "and", "not"), "keyword").when(x < ":", F.when(x >= "0", "literal").otherwise("punctuation")).when(x >= "A", "identifier").otherwise("punctuation")
+    docs = dealt(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", t.alias("t"))
+    return docs.select("doc_id", F.transform("t", lambda x: F.struct(kind(x).alias("kind"), x.alias("spelling"), x.alias("construct"))).alias("tokens"))
 
 
 @query(f"{_H_SQL} SELECT * FROM h")
 def halstead_counts(spark, d):
-    t = _token_arrays(spark, d)
-    return t.select("doc_id", *[c.alias(k) for k, c in tokens.halstead(F.col("tokens")).items()])
+    return tokens.with_halstead(_token_arrays(spark, d), "tokens").select("doc_id", *tokens.COUNTS)
 
 
 @query(f"{_H_SQL} SELECT * FROM h")
 def halstead_of_token_table(spark, d):
-    t = _token_arrays(spark, d).select("doc_id", F.explode("tokens").alias("t")).select("doc_id", "t.kind", "t.spelling")
+    t = _token_arrays(spark, d).select("doc_id", F.explode_outer("tokens").alias("t")).select("doc_id", "t.kind", "t.spelling")
     return tokens.halstead_by(t, ["doc_id"], "kind", "spelling")
 
 
@@ -390,7 +368,7 @@ def halstead_measures(spark, d):
     return h.select("doc_id", measures.volume(n1, n2, t1, t2).alias("volume"), measures.difficulty(n1, n2, t2).alias("difficulty"), measures.effort(n1, n2, t1, t2).alias("effort"))
 
 
-@query("SELECT doc_id, (1 + len(list_filter(regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[.,()]'), lambda t: t IN ('if', 'for', 'while', 'do', 'case', 'catch'))))::int AS complexity FROM documents WHERE len(regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[.,()]')) > 0")
+@query("SELECT doc_id, (1 + len(list_filter(regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[.,()]'), lambda t: t IN ('if', 'for', 'while', 'do', 'case', 'catch'))))::int AS complexity FROM documents")
 def decision_counts(spark, d):
     return _token_arrays(spark, d).select("doc_id", tokens.complexity(F.col("tokens")).alias("complexity"))
 

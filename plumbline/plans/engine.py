@@ -2,32 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import measures, paths
 from ..operators import api as api_ops
 from ..operators import coverage as cov
 from ..operators import dedupe, graph, lines, stats, summary, tokens
-from ..sources import coverage_files, files
-from ..sources.cfront.unit import command, facts
+from ..sources import coverage_files, files, units
 
-_TOKEN = "array<struct<kind string, spelling string, construct string>>"
-_AT = "file string, line int, column int, kind string, name string, seq int"
-FACTS = (
-    f"unit_ord int, file string, functions array<struct<{_AT}, tokens {_TOKEN}>>,"
-    f" api array<struct<{_AT}, scope string, begin bigint, comment string, comment_end bigint, trailing boolean, siblings array<bigint>>>, includes array<struct<src string, dst string>>, errors array<string>"
-)
-
-
-class ParseErrors(Exception):
-    pass
+#: Errors of a unit that are shown; how many more there are is said.
+SHOWN_ERRORS = 5
 
 
 @dataclass(frozen=True)
@@ -43,14 +31,45 @@ class Options:
     flagged: int = measures.FLAGGED
     high: int = measures.HIGH
     allow_parse_errors: bool = False
+    resource: str = ""
+
+
+def measured(functions: DataFrame) -> DataFrame:
+    """Rows with `tokens` measured within their task: complexity and the token counts; the tokens go no further."""
+    out = functions.withColumn("complexity", tokens.complexity(F.col("tokens")))
+    return tokens.with_halstead(out, "tokens").drop("tokens")
+
+
+def declarations(facts: DataFrame) -> DataFrame:
+    """Each public declaration once, as its first unit declares it, with its documentation's style."""
+    a = facts.select("unit_ord", F.explode("api").alias("a")).select("unit_ord", "a.*")
+    a = dedupe.first_wins(a, ["file", "line", "column"], ["unit_ord", "seq"])
+    marks = facts.select(F.explode("marks").alias("m")).select("m.file", F.explode("m.name_at").alias("name_at")).distinct()
+    return api_ops.attach(a, marks, ["file"])
+
+
+@dataclass(frozen=True)
+class Given:
+    """A small project that doesn't stand in a file system: files (path, content), database (text), coverage (source, text).
+
+    Every unit gets all files along, so they must fit a task many times over.
+    """
+
+    files: DataFrame
+    database: DataFrame
+    coverage: DataFrame | None = None
 
 
 class Project:
-    def __init__(self, spark: SparkSession, options: Options):
+    def __init__(self, spark: SparkSession, options: Options, given: Given | None = None):
         measures.check_thresholds(options.flagged, options.high)
-        self.spark, self.o = spark, options
+        self.spark, self.o, self.given = spark, options, given
+
+    @property
+    def covered(self) -> bool:
+        return bool(self.o.coverage) if self.given is None else self.given.coverage is not None
 
-    def _inside(self, path) :
+    def _inside(self, path):
         return paths.in_project(path, self.o.root, self.o.build, self.o.exclude)
 
     def _named(self, df: DataFrame, path: str = "file") -> DataFrame:
@@ -63,7 +82,7 @@ class Project:
     @cached_property
     def plan(self) -> DataFrame:
         """All entries with flags: in_build and skipped (another language)."""
-        db = files.compilation_database(self.spark, self.o.database)
+        db = files.compilation_database(self.spark, self.o.database) if self.given is None else files.commands(self.given.database)
         build = self.o.build.rstrip("/")
         inside = paths.is_within(F.col("file"), build) if build.startswith(self.o.root.rstrip("/") + "/") else F.lit(False)
         return db.withColumns({"skipped": ~paths.is_source(F.col("file")), "in_build": inside})
@@ -75,40 +94,11 @@ class Project:
     @cached_property
     def facts(self) -> DataFrame:
         """One row for each unit; parsed once and kept. Filters stand before the parsing, which Catalyst can't look into."""
-        units = self.plan.where("not skipped and not in_build").select("unit_ord", "file", "directory", "command", "arguments")
-        o = self.o
-        root, build = o.root.rstrip("/"), o.build.rstrip("/")
-        import re
-
-        shut = [re.compile(paths.glob_to_regex(g).replace(r"\z", r"\Z")) for g in o.exclude]
-        names = [x.name for x in T._parse_datatype_string(FACTS).fields]
-
-        def accept(p: str) -> bool:
-            if p != root and not p.startswith(root + "/"):
-                return False
-            if build.startswith(root + "/") and (p == build or p.startswith(build + "/")):
-                return False
-            return not any(s.match(p[len(root) + 1 :]) for s in shut)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            from pyarrow import fs
-
-            def read(p: str) -> bytes | None:
-                store, at = fs.FileSystem.from_uri(p) if "://" in p else (fs.LocalFileSystem(), p)
-                if store.get_file_info(at).type != fs.FileType.File:
-                    return None
-                with store.open_input_stream(at, compression=None) as f:
-                    return f.read()
-
-            for pdf in batches:
-                for r in pdf.to_dict("records"):
-                    args = r["arguments"]
-                    found = facts(r["file"], r["directory"], command({"arguments": None if args is None else list(args), "command": r["command"]}), read, accept)
-                    yield pd.DataFrame([{"unit_ord": r["unit_ord"], "file": r["file"], **found}])[names]
-
-        # a unit is a row: many small tasks, as one unit may be far longer than the others
-        parallel = max(2, 3 * self.spark.sparkContext.defaultParallelism)
-        return units.repartition(parallel, "unit_ord").mapInPandas(run, FACTS).persist()
+        wanted = self.plan.where("not skipped and not in_build").select("unit_ord", "file", "directory", "command", "arguments")
+        if self.given is not None:
+            whole = self.given.files.agg(F.map_from_entries(F.collect_list(F.struct("path", "content"))).alias("files"))
+            wanted = wanted.crossJoin(whole)  # one row
+        return units.parse(wanted, self.o.root, self.o.build, self.o.exclude, self.o.resource).persist()
 
     def close(self) -> None:
         """Gives up the kept facts: a later project over changed files must not meet them again."""
@@ -117,13 +107,24 @@ class Project:
             for df in kept.values() if isinstance(kept, dict) else kept[:1] if isinstance(kept, tuple) else [kept] if kept is not None else []:
                 df.unpersist()
 
-    def finish(self) -> None:
-        """Errors of parsing are an error of the run unless allowed; five of each unit are shown."""
-        if self.o.database is None or self.o.allow_parse_errors:
-            return
-        bad = self.facts.where("size(errors) > 0").select("file", F.slice("errors", 1, 5).alias("errors")).orderBy("unit_ord").limit(20).collect()
-        if bad:
-            raise ParseErrors("\n".join(f"{r['file']}: {e}" for r in bad for e in r["errors"]))
+    def errors(self) -> DataFrame:
+        """file and the first errors of each unit that has some, with how many more there are, in the database's order."""
+        return self.facts.where("size(errors) > 0").orderBy("unit_ord").select("file", F.slice("errors", 1, SHOWN_ERRORS).alias("errors"), F.greatest(F.size("errors") - SHOWN_ERRORS, F.lit(0)).alias("more"))
+
+    def finish(self, err, detail: str = "") -> int:
+        """Writes all errors and a status line to err; the exit status is 1 if there are errors that aren't allowed."""
+        if self.o.database is None and self.given is None:
+            return 0
+        for r in self.errors().toLocalIterator():
+            for e in r["errors"]:
+                err.write(f"error: {e}\n")
+            if r["more"]:
+                err.write(f"  ... and {r['more']} more errors in {r['file']}\n")
+        t = self.totals().first()
+        out = [f"plumbline: parsed {t['units']} translation units, {t['units_with_errors']} with errors"]
+        out += [f"skipped {t['skipped']} entries that are not C or C++"] * (t["skipped"] > 0) + [f"skipped {t['in_build']} units under the build directory"] * (t["in_build"] > 0) + [detail] * bool(detail)
+        err.write("; ".join(out) + "\n")
+        return int(t["units_with_errors"] > 0 and not self.o.allow_parse_errors)
 
     # Functions
 
@@ -134,8 +135,7 @@ class Project:
     def _functions(self) -> DataFrame:
         """One row for each location, as its first unit compiles it."""
         f = self.facts.select("unit_ord", F.explode("functions").alias("f")).select("unit_ord", "f.*")
-        h = tokens.halstead(F.col("tokens"))
-        f = f.select("unit_ord", "seq", "file", "line", "column", "kind", "name", tokens.complexity(F.col("tokens")).alias("complexity"), *[c.alias(k) for k, c in h.items()])
+        f = measured(f)
         f = self._named(dedupe.first_wins(f, ["file", "line", "column"], ["unit_ord", "seq"]))
         n1, n2, t1, t2 = (F.col(c) for c in ("distinct_operators", "distinct_operands", "total_operators", "total_operands"))
         return f.withColumns({
@@ -154,11 +154,7 @@ class Project:
 
     @cached_property
     def _api(self) -> DataFrame:
-        a = self.facts.select("unit_ord", F.explode("api").alias("a")).select("unit_ord", "a.*")
-        a = dedupe.first_wins(a, ["file", "line", "column"], ["unit_ord", "seq"])
-        marks = a.select("file", F.explode("siblings").alias("name_at")).distinct()
-        a = api_ops.attach(a.drop("siblings"), marks, ["file"])
-        return self._named(a).withColumns({"documented": F.col("style") != "none", "doxygen": F.col("style") == "doxygen"}).persist()
+        return self._named(declarations(self.facts)).withColumns({"documented": F.col("style") != "none", "doxygen": F.col("style") == "doxygen"}).persist()
 
     def api_summary(self) -> DataFrame:
         return api_ops.doc_summary(self.api())
@@ -204,9 +200,10 @@ class Project:
 
     @cached_property
     def _lines(self) -> DataFrame:
-        src = files.source_files(self.spark, self.o.root)
+        descend = files.pruned(self.o.root, self.o.build, self.o.exclude)
+        src = files.source_files(self.spark, self.o.root, descend=descend) if self.given is None else self.given.files
         counts = lines.line_counts(src.where(self._inside(F.col("path")))).withColumn("whole", F.col("file"))
-        if self.o.database is None:
+        if self.o.database is None and self.given is None:
             return self._named(counts.withColumn("parsed", F.lit(False))).drop("whole").persist()
         seen = self.facts.select("file").union(self.facts.select(F.explode("includes").alias("e")).select("e.dst")).distinct().select(F.col("file").alias("whole"), F.lit(True).alias("parsed"))
         return self._named(counts.join(seen, "whole", "left").fillna(False, ["parsed"])).drop("whole").persist()
@@ -215,7 +212,7 @@ class Project:
 
     @cached_property
     def _attributed(self) -> tuple[DataFrame, DataFrame]:
-        hits, totals = coverage_files.read_coverage(coverage_files.read_texts(self.spark, *self.o.coverage))
+        hits, totals = coverage_files.read_files(self.spark, *self.o.coverage) if self.given is None else coverage_files.read_coverage(self.given.coverage)
         counts = cov.with_totals(cov.merge(hits), totals)
         path = paths.remap(F.col("path"), self.o.path_maps)
         files_, outside = cov.attribute(counts, path, self._inside(path))
@@ -235,8 +232,8 @@ class Project:
 
     # Everything
 
-    def module_rows(self) -> DataFrame:
-        if self.o.coverage:
+    def module_rows(self, full: bool = False) -> DataFrame:
+        if self.covered:
             self.coverage()  # fails before the expensive scan
         g = self.include_graph()["modules"].drop("files")
-        return summary.module_rows(self.lines(), self.functions(), self.api(), self.coverage() if self.o.coverage else None, g, self.o.flagged, self.o.high)
+        return summary.module_rows(self.lines(), self.functions(), self.api(), self.coverage() if self.covered else None, g, self.o.flagged, self.o.high, full)

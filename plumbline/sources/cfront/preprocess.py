@@ -1,195 +1,351 @@
-"""Conditional directives and includes over tokens. Macro bodies are never expanded: what is written counts."""
+"""Conditional directives, includes and macro definitions over tokens. What is written counts: macro bodies are only
+expanded to judge conditions and to see which functions and declarations an invocation at file or class level makes.
+"""
 
 from __future__ import annotations
 
 import posixpath
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from .lexer import Token, lex
+from .command import Flags
+from .lexer import Part, Token, lex, parts
 
 _BINARY = {"||": 1, "or": 1, "&&": 2, "and": 2, "|": 3, "^": 4, "&": 5, "==": 6, "!=": 6, "<": 7, ">": 7, "<=": 7, ">=": 7, "<<": 8, ">>": 8, "+": 9, "-": 9, "*": 10, "/": 10, "%": 10}
+#: Questions about the compiler; defined, and 0 for whatever they are asked (but for headers, which are looked up).
+_ASKS = ("__has_include", "__has_include_next", "__has_cpp_attribute", "__has_c_attribute", "__has_attribute", "__has_builtin", "__has_feature", "__has_extension", "__has_warning", "__has_declspec_attribute")
+#: An expansion that grows beyond this many tokens is given up: the invocation then counts as written.
+MOST_EXPANDED = 200_000
 
 
 def _number(text: str) -> int:
-    text = text.replace("'", "").rstrip("uUlLzZ")
+    text = text.replace("'", "").rstrip("uUlLzZ") if text[0] != "'" else text
     try:
         return int(text, 0 if not (len(text) > 1 and text[0] == "0" and text[1].isdigit()) else 8)
     except ValueError:
         return ord(text[1]) if len(text) == 3 and text[0] == "'" else 0
 
 
+@dataclass(slots=True)
+class Macro:
+    params: list[str] | None  # None: without a parameter list
+    body: list[Token]
+    makes: bool = False  # its expansion may hold a body or a whole declaration
+
+
+def macro_of(rest: list[Token]) -> Macro:
+    """The macro that the tokens behind #define and its name give; rest[0] is the name."""
+    if len(rest) > 1 and rest[1].text == "(" and rest[1].begin == rest[0].end:
+        close = next((k for k, t in enumerate(rest) if t.text == ")"), len(rest))
+        params = [t.text for t in rest[2:close] if t.text != ","]
+        return Macro(["__VA_ARGS__" if p == "..." else p for p in params], rest[close + 1 :])
+    return Macro(None, rest[1:])
+
+
+def _arguments(tokens: list[Token], opening: int) -> tuple[list[list[Token]], int]:
+    """The arguments of an invocation by top-level commas, and the place after its bracket."""
+    out, depth, i = [[]], 0, opening
+    while i < len(tokens):
+        s = tokens[i].text
+        if s in ("(", "[", "{"):
+            depth += 1
+        elif s in (")", "]", "}"):
+            depth -= 1
+            if depth == 0:
+                return out, i + 1
+        if s == "," and depth == 1:
+            out.append([])
+        elif not (s == "(" and depth == 1 and i == opening):
+            out[-1].append(tokens[i])
+        i += 1
+    return out, i
+
+
+def _substituted(macro: Macro, given: list[list[Token]], macros: dict, hidden: frozenset) -> list[Token]:
+    by = {p: given[k] if k < len(given) else [] for k, p in enumerate(macro.params)}
+    if macro.params and macro.params[-1] == "__VA_ARGS__":
+        comma = Token("punctuation", 0, 0, ",", False)
+        rest = given[len(macro.params) - 1 :]
+        by["__VA_ARGS__"] = [t for k, a in enumerate(rest) for t in ([comma] if k else []) + a]
+    out, body, i = [], macro.body, 0
+    while i < len(body):
+        t = body[i]
+        if t.text == "##" and out and i + 1 < len(body):
+            i += 1
+            right = by.get(body[i].text, [body[i]])
+            if right:
+                glued = out[-1].text + right[0].text
+                kind = "identifier" if glued[0].isalpha() or glued[0] == "_" else "literal" if glued[0].isdigit() else "punctuation"
+                out[-1] = replace(out[-1], text=glued, kind=kind)
+                out += right[1:]
+        elif t.text == "#" and i + 1 < len(body) and body[i + 1].text in by:
+            i += 1
+            out.append(replace(t, kind="literal", text='"' + " ".join(x.text for x in by[body[i].text]) + '"'))
+        elif t.text in by:
+            pasted = i + 1 < len(body) and body[i + 1].text == "##"
+            out += by[t.text] if pasted else expand(by[t.text], macros, hidden)
+        else:
+            out.append(t)
+        i += 1
+    return out
+
+
+def expand(tokens: list[Token], macros: dict[str, Macro], hidden: frozenset = frozenset()) -> list[Token]:
+    """tokens with all macros but the hidden ones replaced; a name isn't replaced within its own replacement."""
+    out, i = [], 0
+    while i < len(tokens):
+        t = tokens[i]
+        m = macros.get(t.text) if t.kind in ("identifier", "keyword") and t.text not in hidden else None
+        if m is None or m.params is not None and (i + 1 >= len(tokens) or tokens[i + 1].text != "("):
+            out.append(t)
+            i += 1
+            continue
+        if m.params is None:
+            body, i = m.body, i + 1
+        else:
+            given, i = _arguments(tokens, i + 1)
+            body = _substituted(m, given, macros, hidden)
+        out += expand(body, macros, hidden | {t.text})
+        if len(out) > MOST_EXPANDED:
+            return out
+    return out
+
+
 class Condition:
-    """The value of an #if expression by precedence climbing; an unknown name is 0."""
+    """The value of an #if expression: its macros expanded, then precedence climbing; an unknown name is 0."""
 
-    def __init__(self, tokens: list[Token], macros: dict[str, list[Token] | None]):
-        self.t, self.i, self.macros = [x for x in tokens if x.kind != "comment"], 0, macros
+    def __init__(self, tokens: list[Token], macros: dict[str, Macro], has: Callable[[str, bool], bool] = lambda name, angled: False):
+        self.i, self.t = 0, [t.text for t in expand(self._asked([x for x in tokens if x.kind != "comment"], macros, has), macros)]
+
+    @staticmethod
+    def _asked(tokens: list[Token], macros: dict[str, Macro], has) -> list[Token]:
+        """`defined` and the questions about the compiler answered, before anything is expanded."""
+        out, i = [], 0
+        answer = lambda t, yes: replace(t, kind="literal", text=str(int(yes)))
+        while i < len(tokens):
+            t = tokens[i]
+            if t.text == "defined" and i + 1 < len(tokens):
+                paren = tokens[i + 1].text == "("
+                name = tokens[i + 1 + paren].text if i + 1 + paren < len(tokens) else ""
+                out.append(answer(t, name in macros or name in _ASKS))
+                i += 4 if paren else 2
+            elif t.text in _ASKS and i + 1 < len(tokens) and tokens[i + 1].text == "(":
+                close = next((k for k in range(i, len(tokens)) if tokens[k].text == ")"), len(tokens) - 1)
+                inner = tokens[i + 2 : close]
+                found = False
+                if t.text == "__has_include" and inner:
+                    angled = inner[0].text == "<"
+                    found = has("".join(x.text for x in inner[1:-1]) if angled else inner[0].text.strip('"'), angled)
+                out.append(answer(t, found))
+                i = close + 1
+            else:
+                out.append(t)
+                i += 1
+        return out
 
     def _take(self) -> str:
         self.i += 1
-        return self.t[self.i - 1].text if self.i <= len(self.t) else ""
+        return self.t[self.i - 1] if self.i <= len(self.t) else ""
 
     def _peek(self) -> str:
-        return self.t[self.i].text if self.i < len(self.t) else ""
+        return self.t[self.i] if self.i < len(self.t) else ""
 
-    def value(self, least: int = 0, depth: int = 0) -> int:
-        left = self._unary(depth)
-        while (op := self._peek()) == "?" or _BINARY.get(op, 0) > least:
+    def value(self, least: int = 0) -> int:
+        left = self._unary()
+        while (op := self._peek()) == "?" and least == 0 or _BINARY.get(op, 0) > least:
             self._take()
             if op == "?":
-                yes = self.value(0, depth)
+                yes = self.value()
                 self._take()
-                no = self.value(0, depth)
+                no = self.value()
                 left = yes if left else no
                 continue
-            right = self.value(_BINARY[op], depth)
-            left = self._apply(op, left, right)
+            left = self._apply(op, left, self.value(_BINARY[op]))
         return left
 
     @staticmethod
     def _apply(op: str, a: int, b: int) -> int:
         if op in ("/", "%"):
-            return 0 if b == 0 else (a // b if op == "/" else a % b)
+            q = 0 if b == 0 else abs(a) // abs(b) * (1 if (a < 0) == (b < 0) else -1)  # towards zero
+            return q if op == "/" else a - q * b if b else 0
         calls = {
             "||": lambda: int(bool(a or b)), "or": lambda: int(bool(a or b)), "&&": lambda: int(bool(a and b)), "and": lambda: int(bool(a and b)), "|": lambda: a | b, "^": lambda: a ^ b, "&": lambda: a & b,
             "==": lambda: int(a == b), "!=": lambda: int(a != b), "<": lambda: int(a < b), ">": lambda: int(a > b), "<=": lambda: int(a <= b), ">=": lambda: int(a >= b),
-            "<<": lambda: a << min(b, 64), ">>": lambda: a >> min(b, 64), "+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b,
+            "<<": lambda: a << min(max(b, 0), 64), ">>": lambda: a >> min(max(b, 0), 64), "+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b,
         }
         return calls[op]()
 
-    def _unary(self, depth: int) -> int:
+    def _unary(self) -> int:
         op = self._take()
         if op in ("!", "not"):
-            return int(not self._unary(depth))
-        if op in ("-", "+", "~"):
-            v = self._unary(depth)
-            return -v if op == "-" else ~v if op == "~" else v
+            return int(not self._unary())
+        if op in ("-", "+", "~", "compl"):
+            v = self._unary()
+            return -v if op == "-" else v if op == "+" else ~v
         if op == "(":
-            v = self.value(0, depth)
+            v = self.value()
             self._take()
             return v
-        if op == "defined":
-            paren = self._peek() == "("
-            if paren:
-                self._take()
-            name = self._take()
-            if paren:
-                self._take()
-            return int(name in self.macros)
-        if op in ("__has_include", "__has_cpp_attribute", "__has_attribute", "__has_builtin", "__has_feature"):
-            while op and op != ")":
-                op = self._take()
-            return 0
         if op and (op[0].isdigit() or op[0] == "'"):
             return _number(op)
-        if op == "true":
-            return 1
-        body = self.macros.get(op)
-        if self._peek() == "(" and op:
+        if self._peek() == "(" and op and (op[0].isalpha() or op[0] == "_"):  # a call of what no macro names
             n = 0
             while self.i < len(self.t):
                 n += {"(": 1, ")": -1}.get(self._take(), 0)
                 if not n:
                     break
             return 0
-        return Condition(body, self.macros).value(0, depth + 1) if body and depth < 32 else 0
+        return int(op == "true")
+
+
+@dataclass
+class Pass:
+    """What one inclusion of a file holds: its active tokens, its active comments, the places of all its directives."""
+
+    tokens: list[Token]
+    comments: list[Token]
+    directives: list[int]
 
 
 @dataclass
 class Unit:
-    """What a unit's files hold: active tokens by file in order, include edges, errors."""
+    """A unit's files in the order in which they end, each with one pass for each different set of active tokens."""
 
-    tokens: dict[str, list[Token]] = field(default_factory=dict)
-    comments: dict[str, list[Token]] = field(default_factory=dict)
-    directives: dict[str, list[int]] = field(default_factory=dict)
+    passes: dict[str, list[Pass]] = field(default_factory=dict)
     includes: set[tuple[str, str]] = field(default_factory=set)
     errors: list[str] = field(default_factory=list)
     content: dict[str, bytes] = field(default_factory=dict)
+    system: set[str] = field(default_factory=set)
+    macros: dict[str, Macro] = field(default_factory=dict)
+
+
+class _Run:
+    def __init__(self, read: Callable[[str], bytes | None], flags: Flags):
+        self.read, self.flags, self.unit = read, flags, Unit()
+        self.macros, self.once, self.seen = self.unit.macros, set(), set()
+        self.cache: dict[str, bytes | None] = {}
+        for name, value in flags.definitions:
+            if value is None:
+                self.macros.pop(name, None)
+            else:
+                self.define(lex(f"{name} {value}".encode()) if "(" not in name else lex(f"{name} {value}".encode()))
 
+    def define(self, rest: list[Token]) -> None:
+        m = macro_of(rest)
+        m.makes = any(t.text in ("{", ";") or t.text in self.macros and self.macros[t.text].makes for t in m.body)
+        self.macros[rest[0].text] = m
 
-def run(path: str, read: Callable[[str], bytes | None], search: list[str], quote: list[str], defines: list[str]) -> Unit:
-    """path with its conditions, following the includes that `read` knows. A header that isn't found is skipped."""
-    unit, macros, once = Unit(), {}, set()
-    for d in defines:
-        name, _, value = d.partition("=")
-        macros[name] = lex((value or "1").encode())
-    cache: dict[str, bytes | None] = {}
-
-    def get(p: str) -> bytes | None:
-        if p not in cache:
-            cache[p] = read(p)
-        return cache[p]
-
-    def found(name: str, angled: bool, at: str) -> str | None:
-        for folder in ([] if angled else [posixpath.dirname(at), *quote]) + search:
-            p = posixpath.normpath(posixpath.join(folder, name))
-            if get(p) is not None:
-                return p
+    def get(self, p: str) -> bytes | None:
+        if p not in self.cache:
+            self.cache[p] = self.read(p)
+        return self.cache[p]
+
+    def found(self, name: str, angled: bool, at: str) -> str | None:
+        near = [] if angled else [posixpath.dirname(at), *self.flags.quote]
+        for system, folders in ((False, near), (False, self.flags.search), (True, self.flags.system)):
+            for folder in folders:
+                p = posixpath.normpath(posixpath.join(folder, name))
+                if self.get(p) is not None:
+                    if system or at in self.unit.system and folder == posixpath.dirname(at):
+                        self.unit.system.add(p)
+                    return p
         return None
 
-    def visit(p: str, depth: int) -> None:
-        body = get(p)
-        fresh = p not in unit.tokens
-        out, notes, lines = [], [], []
-        tokens = lex(body)
-        i, stack = 0, []  # each: [active now, some branch taken, active outside]
-        while i < len(tokens):
-            t = tokens[i]
-            live = all(s[0] for s in stack)
-            if t.kind == "comment":
-                notes.append(t)
-                i += 1
-                continue
-            if not (t.first and t.text == "#"):
+    def include(self, name: str, angled: bool, p: str, depth: int) -> None:
+        target = self.found(name, angled, p)
+        if target is None:
+            if not angled:
+                self.unit.errors.append(f"{p}: '{name}' file not found")
+            return
+        self.unit.includes.add((p, target))
+        if target not in self.once and depth < 200:
+            self.visit(target, depth + 1)
+
+    def visit(self, p: str, depth: int) -> None:
+        out, notes, lines, stack = [], [], [], []  # stack, each: [active now, some branch taken, active outside]
+        live = True
+        for part in parts(self.get(p)):
+            if not part.directive:
                 if live:
-                    out.append(t)
-                i += 1
-                continue
-            j = i + 1
-            while j < len(tokens) and not tokens[j].first:
-                j += 1
-            line, i = [x for x in tokens[i + 1 : j] if x.kind != "comment"], j
-            lines.append(t.begin)
-            what, rest = (line[0].text, line[1:]) if line else ("", [])
-            if what in ("if", "ifdef", "ifndef"):
-                known = bool(rest) and rest[0].text in macros
-                on = bool(live and (Condition(rest, macros).value() if what == "if" else known == (what == "ifdef")))
-                stack.append([on, on, live])
-            elif what in ("elif", "else", "elifdef", "elifndef") and stack:
-                s = stack[-1]
-                test = what == "else" or (Condition(rest, macros).value() if what == "elif" else (bool(rest) and rest[0].text in macros) == (what == "elifdef"))
-                s[0] = bool(s[2] and not s[1] and test)
-                s[1] = s[1] or s[0]
-            elif what == "endif" and stack:
-                stack.pop()
-            elif not live:
+                    notes += part.comments
+                    out += self._marked(part)
                 continue
-            elif what == "define" and rest:
-                macros[rest[0].text] = rest[1:]
-            elif what == "undef" and rest:
-                macros.pop(rest[0].text, None)
-            elif what == "pragma" and rest and rest[0].text == "once":
-                once.add(p)
-            elif what == "error":
-                unit.errors.append(f"{p}: #error {' '.join(x.text for x in rest)}")
-            elif what == "include" and rest:
-                angled = rest[0].text == "<"
-                name = "".join(x.text for x in rest[1:-1]) if angled else rest[0].text.strip('"')
-                target = found(name, angled, p)
-                if target is None:
-                    if not angled:
-                        unit.errors.append(f"{p}: '{name}' file not found")
-                    continue
-                unit.includes.add((p, target))
-                if target not in once and depth < 200:
-                    visit(target, depth + 1)
-        if fresh or out:
-            if fresh:
-                unit.comments[p], unit.directives[p], unit.content[p] = notes, lines, body
-            unit.tokens.setdefault(p, []).extend(out if fresh or not unit.tokens.get(p) else [])
-
-    if get(path) is None:
-        unit.errors.append(f"{path}: file not found")
-    else:
-        visit(path, 0)
-    return unit
+            lines.append(part.begin)
+            what, rest = (part.tokens[0].text, part.tokens[1:]) if part.tokens else ("", [])
+            if live:
+                notes += part.comments
+            if what in ("if", "ifdef", "ifndef", "elif", "else", "elifdef", "elifndef", "endif"):
+                self._condition(what, rest, stack, live, p)
+                live = all(s[0] for s in stack)
+            elif live:
+                self._directive(what, rest, p, depth)
+        if stack:
+            self.unit.errors.append(f"{p}: unterminated conditional directive")
+        key = (p, hash(tuple(t.begin for t in out)), len(out))
+        if p not in self.unit.passes or out and key not in self.seen:
+            self.unit.content[p] = self.get(p)
+            earlier = [x for x in self.unit.passes.get(p, []) if x.tokens]  # a guarded file that includes itself ends empty first
+            self.unit.passes[p] = [*earlier, Pass(out, notes, lines)]
+        self.seen.add(key)
+
+    def _marked(self, part: Part) -> list[Token]:
+        """The part's tokens, invocations of macros that may make a declaration marked with their macro."""
+        if not any(t in self.macros for t in part.names):
+            return part.tokens
+        return [replace(t, made=m) if t.kind == "identifier" and (m := self.macros.get(t.text)) is not None and m.makes else t for t in part.tokens]
+
+    def _condition(self, what: str, rest: list[Token], stack: list, live: bool, p: str) -> None:
+        known = lambda: bool(rest) and (rest[0].text in self.macros or rest[0].text in _ASKS)
+        holds = lambda: bool(Condition(rest, self.macros, lambda n, angled: self.found(n, angled, p) is not None).value())
+        if what in ("if", "ifdef", "ifndef"):
+            on = live and (holds() if what == "if" else known() == (what == "ifdef"))
+            stack.append([on, on, live])
+        elif not stack:
+            self.unit.errors.append(f"{p}: #{what} without #if")
+        elif what == "endif":
+            stack.pop()
+        else:
+            s = stack[-1]
+            s[0] = bool(s[2] and not s[1] and (what == "else" or (holds() if what == "elif" else known() == (what == "elifdef"))))
+            s[1] = s[1] or s[0]
+
+    def _directive(self, what: str, rest: list[Token], p: str, depth: int) -> None:
+        if what == "define" and rest:
+            self.define(rest)
+        elif what == "undef" and rest:
+            self.macros.pop(rest[0].text, None)
+        elif what == "pragma" and rest and rest[0].text == "once":
+            self.once.add(p)
+        elif what == "error":
+            self.unit.errors.append(f"{p}: #error {' '.join(x.text for x in rest)}")
+        elif what in ("include", "include_next", "import") and rest:
+            if rest[0].text != "<" and rest[0].kind != "literal":
+                rest = expand(rest, self.macros) or rest
+            angled = rest[0].text == "<"
+            close = next((k for k, t in enumerate(rest) if t.text == ">"), len(rest)) if angled else 0
+            self.include("".join(x.text for x in rest[1:close]) if angled else rest[0].text.strip('"'), angled, p, depth)
+
+
+def run(path: str, read: Callable[[str], bytes | None], flags: Flags) -> Unit:
+    """path with its conditions, following the includes that `read` knows. An <...> header that isn't found is skipped.
+
+    A file that is included again under other macros has a pass for each different set of active tokens.
+    """
+    r = _Run(read, flags)
+    if r.get(path) is None:
+        r.unit.errors.append(f"{path}: file not found")
+        return r.unit
+    for name in flags.forced:
+        r.include(name, False, posixpath.join(flags.directory, "."), 0)
+    r.unit.includes.clear()
+    r.visit(path, 0)
+    main = r.unit.passes[path][-1].tokens
+    depth = 0
+    for t in main:
+        if t.kind == "punctuation" and t.text in "{}" and t.made is None:
+            depth += 1 if t.text == "{" else -1
+            if depth < 0:
+                break
+    if depth and not any(t.made for t in main):
+        r.unit.errors.append(f"{path}: " + ("expected '}'" if depth > 0 else "extraneous closing brace ('}')"))
+    return r.unit

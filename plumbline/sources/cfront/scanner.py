@@ -6,9 +6,10 @@ It works by brackets and declarator shapes, without types. What that can't tell
 from __future__ import annotations
 
 from bisect import bisect_right
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from .lexer import Token
+from .preprocess import MOST_EXPANDED, Macro, _arguments, _substituted, expand
 
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 _TYPE_WORDS = {"int", "char", "bool", "auto", "long", "short", "unsigned", "signed", "float", "double", "void", "const", "volatile", "typename", "wchar_t", "char8_t", "char16_t", "char32_t"}
@@ -52,8 +53,12 @@ def position(content: bytes) -> tuple:
 
 
 class Scanner:
-    def __init__(self, tokens: list[Token]):
-        self.t = tokens
+    """macros: the unit's, for invocations that the preprocessor has marked; plain_c: constants have linkage; spaces: names
+    of the unit's namespaces so far, which tell a qualified function from a member."""
+
+    def __init__(self, tokens: list[Token], macros: dict[str, Macro] | None = None, plain_c: bool = False, spaces: set[str] | None = None):
+        self.t, self.macros, self.plain_c = tokens, macros or {}, plain_c
+        self.spaces = spaces if spaces is not None else set()
         self.match = self._matches()
         self.functions: list[Function] = []
         self.api: list[Declaration] = []
@@ -132,6 +137,7 @@ class Scanner:
             return self._semicolon(j, end) + 1
         close = self.match[j]
         hidden = not parts
+        self.spaces.update(parts)
         self.scope(j + 1, close, names + (parts or ["(anonymous namespace)"]), None, public and not hidden, owner)
         return close + 1
 
@@ -140,7 +146,39 @@ class Scanner:
             i = self.match.get(i, i) + 1 if self.text(i) in _OPEN else i + 1
         return i
 
+    def _invocation(self, i: int, end: int, names: list[str], cls: str | None, public: bool, owner) -> int | None:
+        """What a macro makes at i, with a body that is written behind it; its place is that of the invocation."""
+        macro, at, after = self.t[i].made, self.t[i], i + 1
+        if macro.params is None:
+            body = macro.body
+        elif self.text(after) == "(":
+            given, after = _arguments(self.t[:end], after)
+            body = _substituted(macro, given, self.macros, frozenset((at.text,)))
+        else:
+            return None
+        last = self.t[after - 1].end
+        made = [replace(t, begin=at.begin, end=last, first=False, made=None) for t in expand(body, self.macros, frozenset((at.text,)))]
+        depth = sum({"{": 1, "}": -1}.get(t.text, 0) for t in made if t.kind == "punctuation")
+        if depth or not made or len(made) > MOST_EXPANDED:
+            return None
+        stop = self.match[after] + 1 if self.text(after) == "{" and made[-1].text not in ("}", ";") else after
+        sub = Scanner(made + self.t[after:stop], self.macros, self.plain_c, self.spaces)
+        sub.scope(0, len(sub.t), names, cls, public, None)
+        back = lambda k: after + max(k - len(made), 0)
+        for f in sub.functions:
+            inside = f.first >= len(made)
+            spans = [(back(a), back(b)) for a, b in f.params + [(0, 0)] if b > len(made)]
+            nested = [(back(a), back(b)) for a, b in f.nested if a >= len(made)]
+            self.functions.append(replace(f, first=back(f.first) if inside else i, last=back(f.last) if f.last > len(made) else after, params=spans, nested=nested))
+            if owner is not None and not inside:
+                owner.nested.append((i, stop))
+        self.api += sub.api
+        self.siblings += sub.siblings
+        return stop
+
     def _declaration(self, i: int, end: int, names: list[str], cls: str | None, public: bool, owner) -> int:
+        if self.t[i].made is not None and (made := self._invocation(i, end, names, cls, public, owner)) is not None:
+            return made
         start, template, here = i, False, "::".join(names)
         while self.text(i) in ("template", "[") or self.text(i) == "requires":
             if self.text(i) == "template":
@@ -187,7 +225,7 @@ class Scanner:
                 else:
                     j = self.match[j] + 1 if self.text(j) == "[" else j + 1
             if self.text(j) == "{":
-                return self._class(head, j, start, end, names, public, owner, begin)
+                return self._class(head, j, end, names, cls, public, begin, owner)
             if self.text(j) == ";":
                 return j + 1
         return self._function(i, start, end, names, cls, public, owner, template) or self._variable(i, end, here, cls, begin, public, names)
@@ -201,7 +239,7 @@ class Scanner:
             k = next((o for o, c in self.match.items() if c == k), k) - 1
         return k if self.t[k].kind == "identifier" else None
 
-    def _class(self, head: int, body: int, start: int, end: int, names: list[str], public: bool, owner, begin: int) -> int:
+    def _class(self, head: int, body: int, end: int, names: list[str], cls: str | None, public: bool, begin: int, owner) -> int:
         close = self.match[body]
         at = None
         j = head + 1
@@ -221,8 +259,8 @@ class Scanner:
         if kind != "enum":
             inner = [*names, name] if name else [*names, "(anonymous)"]
             self.scope(body + 1, close, inner, name or "(anonymous)", (kind != "class") if public and name else False, owner)
-        if stop > close + 1 and self.text(close + 1) not in ("}",):
-            self._variable(close + 1, end, "::".join(names), None, begin, public, names)
+        if stop > close + 1 and self.text(close + 1) != "}":
+            self._variable(close + 1, end, "::".join(names), cls, begin, public, names, bare=True, words={self.text(k) for k in range(max(head - 4, 0), head) if self.t[k].begin >= begin})
         return stop + 1
 
     def _members(self, i: int, close: int, names: list[str], public: bool) -> None:
@@ -235,25 +273,58 @@ class Scanner:
             name = f"{scope}::{t.text}" if scope else t.text
             self.api.append(Declaration(name + suffix, kind, t.begin, begin, self.t[min(stop, len(self.t) - 1)].end, scope))
 
-    def _variable(self, i: int, end: int, here: str, cls: str | None, begin: int, public: bool, names: list[str]) -> int:
+    def _variable(self, i: int, end: int, here: str, cls: str | None, begin: int, public: bool, names: list[str], bare: bool = False, words: set | None = None) -> int:
+        """Each declarator of a declaration without a body; bare: the type stands before i."""
         stop = self._semicolon(i, end)
-        words = {self.text(k) for k in range(i, min(stop, i + 6))}
-        k, name = i, None
+        words = set(words or ())
+        k, head = i, True
         while k < stop:
-            s = self.text(k)
-            if s == "<" and k > i and self.t[k - 1].kind == "identifier":
-                k = self.angles(k, stop)
-                continue
-            if s in ("=", "{", ":", "[") or s == "," or s == "(":
-                break
-            if self.t[k].kind == "identifier":
-                name = k
-            k += 1
-        if name is not None and name > i - 1 and stop > i and (name > i or cls):
-            hidden = cls is None and ("static" in words or ("const" in words or "constexpr" in words) and not words & {"extern", "inline"})
-            self._add("field" if cls else "variable", name, here, begin, stop, public and not hidden, names)
+            name, pointer, const = None, False, False
+            first = k
+            while k < stop:
+                s = self.text(k)
+                if s == "<" and k > first and self.t[k - 1].kind == "identifier":
+                    k = self.angles(k, stop)
+                    continue
+                if s == "(" and self.text(k + 1) in ("*", "&", "^") and name is None or s == "(" and self.text(k + 1) in ("*", "&", "^") and self.text(self.match[k] + 1) == "(":
+                    name = next((x for x in range(k + 1, self.match[k]) if self.t[x].kind == "identifier"), None)
+                    pointer, const = True, False
+                    break
+                if s in ("__attribute__", "alignas", "decltype", "_Alignas", "__declspec") and self.text(k + 1) == "(":
+                    k = self.match[k + 1] + 1
+                    continue
+                if s == "[" and self.text(k + 1) == "[":
+                    k = self.match[k] + 1
+                    continue
+                if s in ("=", "{", ":", "[", ",", "("):
+                    break
+                if self.t[k].kind == "identifier":
+                    name = k
+                elif s in ("*", "&", "&&"):
+                    pointer, const = True, False
+                elif s == "const" and pointer:
+                    const = True
+                if head:
+                    words.add(s)
+                k += 1
+            if name is not None and (name > i or bare or not head):
+                fixed = "constexpr" in words or const or "const" in words and not pointer
+                hidden = cls is None and ("static" in words or fixed and not self.plain_c and not words & {"extern", "inline"})
+                self._add("field" if cls else "variable", name, here, begin, stop, public and not hidden, names)
+            while k < stop and self.text(k) != ",":
+                if self.text(k) in _OPEN:
+                    k = self.match[k] + 1
+                else:
+                    k = self.angles(k, stop) if self._template(k, stop) else k + 1
+            k, head = k + 1, False
         return stop + 1
 
+    def _template(self, i: int, stop: int) -> bool:
+        """Whether a template list that is closed begins at i, rather than a comparison."""
+        if self.text(i) != "<" or self.t[i - 1].kind != "identifier":
+            return False
+        return self.text(self.angles(i, stop) - 1) in (">", ">>")
+
     def _declarator(self, i: int, end: int) -> tuple[int, int, str] | None:
         """The name's place, the parameter list's place and the name as written, if this is a function declarator."""
         j = i
@@ -284,6 +355,8 @@ class Scanner:
                     while k > i and self.text(k) != "<":
                         k -= 1
                     k -= 1
+                if self.text(j + 1) in ("*", "&", "^") and self.text(self.match[j] + 1) in ("(", "["):
+                    return None  # a pointer to a function or an array
                 if k >= i and self.t[k].kind == "identifier":
                     name = self.text(k)
                     return (k - 1, j, "~" + name) if self.text(k - 1) == "~" else (k, j, name)
@@ -366,7 +439,7 @@ class Scanner:
             qualifier.insert(0, self.text(k))
             k -= 1
         full = "::".join([*names, *qualifier, name]) + self.parameters(opening)
-        within = qualifier[-1] if qualifier else cls
+        within = (None if qualifier[-1] in self.spaces else qualifier[-1]) if qualifier else cls
         kind = self._kind(name, within, template)
         scope = "::".join(names)
         static = any(self.text(x) == "static" for x in range(start, at))

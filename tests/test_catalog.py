@@ -6,7 +6,7 @@ import pytest
 
 duckdb = pytest.importorskip("duckdb")
 
-from plumbline.plans import catalog  # noqa: E402
+from plumbline.plans import registry  # noqa: E402
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -26,9 +26,9 @@ def con(sf):
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, sf, con, name):
-    df, rel = catalog.queries()[name](spark, sf), con.sql(catalog.oracle_sql()[name])
+    df, rel = registry.queries()[name](spark, sf), con.sql(registry.oracle_sql()[name])
     cols = sorted(df.columns)
     assert cols == sorted(rel.columns)
     at = [rel.columns.index(c) for c in cols]
@@ -39,4 +39,4 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
-    assert set(catalog.queries()) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    assert set(registry.queries()) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

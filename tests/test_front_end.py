@@ -2,14 +2,19 @@
 
 import csv
 import json
+import random
+import re
 
 import pytest
 
 from plumbline import cli
+from plumbline.plans.engine import declarations
 from plumbline.sources.cfront import preprocess
-from plumbline.sources.cfront.lexer import lex, line_kinds
+from plumbline.sources.cfront.command import flags
+from plumbline.sources.cfront.lexer import lex, line_counts, line_kinds
 from plumbline.sources.cfront.scanner import Scanner
-from plumbline.sources.cfront.unit import facts, flags
+from plumbline.sources.cfront.unit import facts
+from plumbline.sources.units import FACTS
 
 B, C, K = "blank", "comment", "code"
 
@@ -17,13 +22,44 @@ B, C, K = "blank", "comment", "code"
 @pytest.mark.parametrize(
     ("source", "kinds"),
     [
-        ("", []), ("int x;\r\n\r\n// c\r\n", [K, B, C]), ("int b; /* start\n end */\n", [K, C]), ("/*/ still\n comment */\nint c;\n", [C, C, K]), ("n = 1'0; /* c\n*/\n", [K, C]),
-        ('x = BAR"(";\n// real\n', [K, C]), ("#define N \\\n\n", [K, B]), ("int a; /\\\n/ comment\n", [K, C]), ('s = R"(// no\n\n/* no)";\n', [K, B, K]), ('s = "// no";\n', [K]), ('s = "open\n// c\n', [K, C]),
-        ("/* a\n\n b */ int x;\n", [C, B, K]), ("\xef\xbb\xbf// c\n", [C]), ("// c \\\n still\nint x;", [C, C, K]), ("c = '\"'; // x\n", [K]), ('R"q(a)" )q" // c\n', [K]), ("a\rb\n \t\v\f\n", [K, B]), ("u8R\"(\n\\\n)\";\n", [K, K, K]),
+        ("", ""), ("\n\n", "bb"), ("//only\n", "c"), ("x\r\n \r\n//\r\n", "kbc"), ("f(/* one\n\ttwo */);", "kk"), ("/* one\n*/\n", "cc"), ("/*/\n*/ y\n", "ck"), ("1'2'3; // a\n/*'*/\n", "kc"), ("id'/*'\nz\n", "kk"),
+        ("\"/*\"\n'//'\n", "kk"), ("\"\\\"//\"\n// t\n", "kc"), ("\"never closed\n// t\n", "kc"), ('R"//(\n/*\n)//"\n/**/', "kkkc"), ('uR"(\n\n)" // t\n\n', "kbkb"), ('fR"(\n/*"\n*/\n', "kcc"), ("/\\\r\n/ c\n\\\n", "ccb"),
+        ("// goes on \\\nhere\nno\n", "cck"), ("\xef\xbb\xbf\n//\n", "bc"), ("a\rb\n\v\f\t\n", "kb"), ('LR"(\\\n)"', "kk"), ("0b1'0'/*\n*/", "kk"), (".5'6 /*\n*/", "kc"),
     ],
 )
 def test_line_kinds(source, kinds):
-    assert line_kinds(source.encode("latin-1")) == kinds
+    assert line_kinds(source.encode("latin-1")) == [{"b": B, "c": C, "k": K}[x] for x in kinds]
+    assert line_counts(source.encode("latin-1")) == tuple(kinds.count(x) for x in "bck")
+
+
+def plain_kinds(source):
+    """A state for each character, without splices or raw strings: what line_kinds must say of such sources."""
+    out, state, line, i = [], "", "b", 0
+    while i < len(source):
+        two, c = source[i : i + 2], source[i]
+        i += 1
+        if state == "" and two in ("//", "/*") or state == "/*" and two == "*/":
+            line, i = max(line, "c", key="bck".index), i + 1
+            state = two if state == "" else ""
+        elif c == "\n":
+            out.append(line)
+            line, state = "b", state if state == "/*" else ""
+        elif c not in " \t":
+            line = max(line, "c" if state in ("//", "/*") else "k", key="bck".index)
+            if state in ('"', "'"):
+                i += c == "\\" and two[1:] != "\n"
+                state = "" if c == state else state
+            elif state == "" and c in "\"'":
+                state = c
+    return out + [line] * (source[-1:] not in ("", "\n"))
+
+
+def test_line_kinds_against_states():
+    r = random.Random(5)
+    for _ in range(4000):
+        source = "".join(r.choice(["/", "*", "//", "/*", "*/", '"', "'", "\n", " ", "x", ";", "\\", '"a"']) for _ in range(r.randint(0, 30))).replace("x'", "; '")
+        source = re.sub(r"\\+\n", "\n", source)
+        assert line_kinds(source.encode()) == [{"b": B, "c": C, "k": K}[x] for x in plain_kinds(source)], source
 
 
 def scan(source):
@@ -88,70 +124,96 @@ def halstead(f):
     return len(set(ops)), len(ops), len(set(rands)), len(rands)
 
 
-def test_halstead_of_a_small_function():
-    assert halstead(scan("int add(int a, int b) { return a + b; }").functions[0]) == (7, 9, 3, 5)
+def test_halstead_counts():
+    f = scan("long scale(long by) { long r = by * 3; r -= 3; return r; }").functions[0]
+    # long ( { = * ; -= return, with long three times and ; three times; scale by r 3
+    assert halstead(f) == (8, 12, 4, 8)
 
 
-def unit(sources, path="/p/a.c", args=("cc",), **kw):
-    return preprocess.run(path, lambda p: sources.get(p, None) and sources[p].encode(), *flags(list(args), "/p"))
+def unit(sources, path="/p/a.c", args=("cc",)):
+    return preprocess.run(path, lambda p: sources[p].encode() if p in sources else None, flags(list(args), "/p", path))
 
 
-def test_preprocessor():
+def texts(u, p):
+    return [[t.text for t in x.tokens] for x in u.passes[p]]
+
+
+def test_conditions_and_includes():
     s = {
-        "/p/a.c": '#include "h.h"\n#include "h.h"\n#include <sys.h>\n#include <lib/x.h>\n#define A 2\n#if A == 2 && !defined(B) && F(1) == 0\nint yes;\n#elif 1\nint no;\n#else\nint no2;\n#endif\n#ifdef H\nint h;\n#endif\n#if 0\n#include "never.h"\n#endif\n#if V > 0x1F || (1 ? 0 : 1)\nint v;\n#endif\n',
-        "/p/h.h": "#ifndef H\n#define H\n#define F(x) x\nint in_h;\n#include \"../p/h.h\"\n#endif\n", "/inc/lib/x.h": "#pragma once\nint x;\n",
+        "/p/a.c": '#include "one.h"\n#include "one.h"\n#include <gone.h>\n#include <deep/two.h>\n#if LEVEL > 0x0F && TWICE(LEVEL) == 64\nkept;\n#elif 1\nlost;\n#endif\n#ifndef ONE\nlost;\n#else\nalso;\n#endif\n#if 0\n#include "unread.h"\n#elifdef ONE\nthird;\n#endif\n',
+        "/p/one.h": '#ifndef ONE\n#define ONE\n#define TWICE(x) ((x) + (x))\nin_one;\n#include "../p/one.h"\n#endif\n', "/i/deep/two.h": "#pragma once\nin_two;\n",
     }
-    u = unit(s, args=("cc", "-I", "../inc", "-DV=32", "-c", "a.c"))
-    assert u.includes == {("/p/a.c", "/p/h.h"), ("/p/h.h", "/p/h.h"), ("/p/a.c", "/inc/lib/x.h")} and not u.errors
-    assert [t.text for t in u.tokens["/p/a.c"]] == ["int", "yes", ";", "int", "h", ";", "int", "v", ";"]
-    assert [t.text for t in u.tokens["/p/h.h"]] == ["int", "in_h", ";"]
-    assert unit({"/p/a.c": '#include "gone.h"\n#error no\n'}).errors == ["/p/a.c: 'gone.h' file not found", "/p/a.c: #error no"]
-    assert flags(["cl", "/I..\\x", "/Iinc", "/DA=1", "/std:c++17"], "/p")[2] == ["A=1"]
+    u = unit(s, args=("cc", "-I", "../i", "-DLEVEL=32", "a.c"))
+    assert u.includes == {("/p/a.c", "/p/one.h"), ("/p/one.h", "/p/one.h"), ("/p/a.c", "/i/deep/two.h")} and not u.errors
+    assert texts(u, "/p/a.c") == [["kept", ";", "also", ";", "third", ";"]] and texts(u, "/p/one.h") == [["in_one", ";"]] and texts(u, "/i/deep/two.h") == [["in_two", ";"]]
+    assert unit({"/p/a.c": '#include "gone.h"\n#error stop here\n'}).errors == ["/p/a.c: 'gone.h' file not found", "/p/a.c: #error stop here"]
+    assert unit({}).errors == ["/p/a.c: file not found"]
 
 
-HEADER = """// banner
+@pytest.mark.parametrize(
+    ("condition", "args", "holds"),
+    [
+        ("__cplusplus >= 202002L", ("c++", "-std=c++20"), True), ("__cplusplus >= 202002L", ("c++", "-std=gnu++17"), False), ("__cplusplus == 201703L", ("c++",), True), ("defined __cplusplus", ("cc", "-x", "c"), False),
+        ("__STDC_VERSION__ >= 201112L", ("cc", "-x", "c", "-std=c99"), False), ("defined(__linux__) && __GNUC__", ("c++",), True), ("defined linux", ("c++", "-std=c++17"), False), ("_MSC_VER > 1900 && defined _WIN32", ("cl", "/c"), True),
+        ("A == 1 && !defined B", ("c++", "-DA", "-DB", "-UB"), True), ("(5 - 7) / 2 == -1 && -7 % 3 == -1 && (1 ? 2 : 3) == 2", ("c++",), True), ("'A' == 65 && 1'000 == 01750 && true", ("c++",), True), ("NOTHING(1, (2)) || __has_attribute(x)", ("c++",), False),
+        ("__has_include(<none>) || !__has_include(\"h.h\")", ("c++",), False), ("defined __has_include", ("c++",), True), ("F(2, 3) == 6 && G == 5", ("c++", "-DF(a, b)=a * b", "-DG=F(1 + 1, 4)"), True), ("SELF", ("c++", "-DSELF=SELF + 0"), False),
+    ],
+)
+def test_condition_values(condition, args, holds):
+    u = unit({"/p/a.cpp": f"#if {condition}\nyes\n#else\nno\n#endif\n", "/p/h.h": ""}, "/p/a.cpp", args)
+    assert texts(u, "/p/a.cpp") == [["yes" if holds else "no"]]
 
-/// Adds.
-int add(int, int);
-int bare(int);
-/* Plain. */
 
-int plain(void);
-/** A type. */
-struct Point {
-  int x; ///< trailing
-  int y;
-  //! Norm.
-  double norm() const;
-  Point() = default;
- private:
-  int secret;
-};
-class Account { int hidden; public:
-  /// Shown.
-  int balance(); };
-static int internal(int);
-namespace { int anon; }
-enum Shape { Square };
-/// Length.
-using Meters = double;
-typedef struct { int code; } status_t;
-extern int errors;
-struct Forward;
-int add(int, int);
-/// Two.
-int one, two;
-"""
+def test_a_file_has_a_pass_for_each_set_of_macros():
+    s = {"/p/a.c": '#define V 1\n#include "x.def"\n#undef V\n#define V 2\n#include "x.def"\n#include "x.def"\n', "/p/x.def": "#if V == 1\nfirst\n#else\nsecond\n#endif\n"}
+    assert texts(unit(s), "/p/x.def") == [["first"], ["second"]]
+
+
+def test_driver_arguments():
+    f = flags(["clang-cl", "/I..\\x", "/Iinc", "/DN=4", "/D", "M", "/FIall.h", "/std:c++17"], "/p")
+    assert f.search[1] == "/p/inc" and ("N", "4") in f.definitions and ("M", "1") in f.definitions and f.forced == ["all.h"] and dict(f.definitions)["__cplusplus"] == "201703L"
+    g = flags(["gcc", "-iprefix", "/pre/", "-iwithprefix", "late", "-isystem", "sys", "-iquoteq", "-I."], "/p", "a.c", "/res")
+    assert (g.search, g.quote, g.system, g.plain_c) == (["/p"], ["/p/q"], ["/p/sys", "/pre/late", "/res/include"], True)
+
+
+def api(header, path="/p/a.hpp", args=("c++",), **more):
+    files = {path: header, **more}
+    return facts(path, "/p", list(args), lambda p: files[p].encode() if p in files else None, lambda p: True)["api"]
+
+
+@pytest.mark.parametrize(
+    ("header", "names"),
+    [
+        ("extern int a, *b, c[2];", "a b c"), ("struct Q { int u, v : 2; unsigned : 3; } q, *r;", "Q Q::u Q::v q r"), ("enum Tone { lo, hi } tone;", "Tone tone"), ("const int k = 1; constexpr int c = 2; inline const int shown = 3; extern const int out;", "shown out"),
+        ("const char *text; char *const fixed = 0;", "text"), ("void (*call)(int), (*other)(void);", "call other"), ("static int s; static void f(); namespace { int n; }", ""), ("std::map<int, std::pair<int, int>> m, w;", "m w"),
+        ("struct Fwd; class W { int i; public: void g(); protected: int p; };", "W W::g()"), ("struct D { D() = default; D(int); ~D(); D &operator=(const D &) = delete; };", "D D::D(int) D::~D()"), ("void once(int); void once(int);", "once(int)"),
+        ("typedef struct node { int n; } node_t;", "node_t node_t::n"), ("#define HANDLE(x) typedef struct x##_s *x;\nHANDLE(door)\nHANDLE(window)", "door window"), ("using size = unsigned; template <class T> using vec = T;", "size vec"),
+    ],
+)
+def test_public_declarations(header, names):
+    assert sorted(a["name"] for a in api(header)) == sorted(names.split())
+
+
+def test_constants_have_linkage_in_c():
+    assert [a["name"] for a in api("const int limit = 3; static const int own = 1;", "/p/a.h", ("cc", "-x", "c"))] == ["limit"]
+
+
+def test_comments_of_declarations(spark):
+    header = "/// far\n\nint near_one(int);\nint bare; // of bare\nint next_one;\n/* both */\nextern long a, b;\n/** lost */\n#define M\nint after;\n/// group\n/// of lines\nint grouped();\nstruct S { int x; ///< of x\n int y; };\n"
+    rows = facts("/p/a.hpp", "/p", ["c++"], lambda p: header.encode() if p == "/p/a.hpp" else None, lambda p: True)
+    df = units_table(spark, rows)
+    got = {r["name"]: r["style"] for r in declarations(df).collect()}
+    assert got == {"near_one(int)": "doxygen", "bare": "plain", "next_one": "none", "a": "plain", "b": "plain", "after": "none", "grouped()": "doxygen", "S": "none", "S::x": "doxygen", "S::y": "none"}
+
+
+def units_table(spark, rows):
+    return spark.createDataFrame([{"unit_ord": 0, "file": "/p/a.hpp", **rows}], FACTS)
 
 
-def test_api():
-    f = facts("/p/a.h", "/p", ["cc"], lambda p: HEADER.encode() if p == "/p/a.h" else None, lambda p: True)
-    got = {a["name"]: (a["kind"], (a["comment"] or "").strip()[:9]) for a in f["api"]}
-    assert got["add(int, int)"] == ("function", "/// Adds.") and got["bare(int)"][0] == "function" and got["plain()"] == ("function", "/* Plain.")
-    assert got["Point"] == ("type", "/** A typ") and got["Point::x"] == ("field", "///< trai") and got["Point::norm()"] == ("method", "//! Norm.")
-    assert got["Account::balance()"] == ("method", "/// Shown") and got["Meters"] == ("type_alias", "/// Lengt") and got["status_t"][0] == "type_alias" and got["status_t::code"][0] == "field"
-    assert got["errors"][0] == "variable" and got["Shape"][0] == "type"
-    assert not {"internal(int)", "anon", "Point::secret", "Account::hidden", "Point::Point()", "Square", "Forward"} & set(got)
+def test_functions_that_macros_make():
+    s = "#define MAKE(n, e) static int n(int a) { if (a) return e; return 0; }\nMAKE(one, a || 1)\n#define CASE(a) void a##_case()\n#define WRAP CASE(inner); void outer_case()\nWRAP { for (;;) {} }\nint plain() { MAKE(no, 1) return 0; }\n#define OPEN namespace z {\nOPEN int in_z() { return 1; } }\n"
+    f = facts("/p/a.cpp", "/p", ["c++"], lambda p: s.encode() if p == "/p/a.cpp" else None, lambda p: True)["functions"]
+    assert [(x["name"], x["line"], 1 + sum(bool(t["construct"]) for t in x["tokens"])) for x in f] == [("one(int)", 2, 2), ("outer_case()", 5, 2), ("plain()", 6, 1), ("in_z()", 8, 1)]
 
 
 FILES = {
@@ -197,9 +259,9 @@ def test_report(spark, project):
     assert [(r["level"], r["members"]) for r in table(out / "include_cycles.csv")] == [("file", "src/ring/a.h;src/ring/b.h")]
     assert {r["file"]: r["parsed"] for r in table(out / "files.csv")}["src/util.h"] == "yes" and [r["file"] for r in table(out / "files.csv")][0] == "src/main.c"
     doc = json.loads((out / "report.json").read_text())
-    assert doc["input"]["units"] == 2 and doc["input"]["skipped"] == 1 and doc["input"]["in_build"] == 1 and doc["includes"]["file_cycles"] == [["src/ring/a.h", "src/ring/b.h"]]
+    assert doc["input"]["translation_units"] == 2 and doc["input"]["units_skipped"] == 1 and doc["input"]["units_in_build_directory"] == 1 and doc["totals"]["includes"] is None and doc["totals"]["lines"]["test"]["code"] == 2 and doc["includes"]["file_cycles"] == [["src/ring/a.h", "src/ring/b.h"]]
     text = (out / "report.md").read_text()
-    assert text.count("\n## ") == 7 and "records outside the root: 1" in text and "subgraph" in (out / "includes.dot").read_text()
+    assert text.count("\n## ") == 7 and "1. `src/ring/a.h`, `src/ring/b.h`" in text and "| `ring` |" in text and "records outside the root: 1" in text and "subgraph" in (out / "includes.dot").read_text()
     assert cli.main(["report", *args, "-o", str(out), "--exclude", "out/**"], spark) == 0 and not (out / "coverage.csv").exists()
 
 
@@ -212,6 +274,8 @@ def test_commands(spark, project, capsys):
     assert cli.main(["functions", *args, "--flag-over", "5", "--high-over", "2"], spark) == 1
     assert cli.main(["includes", *args, "--output", "CYCLES"], spark) == 0
     assert "file,1,2,src/ring/a.h;src/ring/b.h" in capsys.readouterr().out
+    err = "".join(f'#include "gone{n}.h"\n' for n in range(8))
+    (project / "src/many.c").write_text(err)
     (project / "src/main.c").write_text('#include "gone.h"\n')
     assert cli.main(["docs", *args], spark) == 1 and "gone.h" in capsys.readouterr().err
     assert cli.main(["docs", *args, "--allow-parse-errors"], spark) == 0
