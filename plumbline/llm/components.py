@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mark, released, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -18,17 +18,19 @@ def components(edges: DataFrame) -> DataFrame:
     edges has u and v. Each round is an aggregation and a join on the node, written to the shared folder; the number
     of rounds grows with the logarithm of the longest path.
     """
+    begun = mark()
     e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = _mark(e)
-    while mark[0]:
+    before = _mark(e)
+    while before[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         e = written(small.where("u <> v").distinct(), "star")
+        released(begun, e)  # the round before
         new = _mark(e)
-        if new == mark:
+        if new == before:
             break
-        mark = new
+        before = new
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))

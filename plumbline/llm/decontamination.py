@@ -9,7 +9,7 @@ containment of the shingle strings.
 Words are runs of letters and digits, lower-cased. An item of fewer than `width` words is one shingle of all its words.
 
 Defined cases: items without a word are never found; null or empty documents are clean; equal rows get equal results;
-rows without a doc_id are judged by their own text; extra columns stay untouched.
+rows without a doc_id are judged by their own text; ids of either table may be of any type; extra columns stay untouched.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, fresh, written
+from .common import BROADCAST_BYTES, bounded_broadcast, bytes_of, dealt_join, fresh, hot_keys, written
 
 WIDTH, THRESHOLD = 5, 0.8
 
@@ -67,20 +67,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     widths = sorted(r[0] for r in items.select("w").distinct().collect())  # at most `width` numbers
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     if not widths:
-        return d.select("id", "text_hash", F.lit(None).cast("bigint").alias("item_id"), F.lit(0).alias("shared"), F.lit(0).alias("n_shingles")).limit(0)
-    sketch = items.select("item_id", "w", F.explode("sketch").alias("h"))
-    sketch_rows = items.agg(F.sum(F.size("sketch"))).first()[0] or 0
+        return d.select("id", "text_hash", F.lit(None).cast(benchmark.schema[item_id].dataType).alias("item_id"), F.lit(0).alias("shared"), F.lit(0).alias("n_shingles")).limit(0)
+    sketch = items.select("item_id", F.explode("sketch").alias("h"))
+    sketch = written(sketch.groupBy("h").agg(F.collect_set("item_id").alias("items")), "sketch")
     hashed = d.select("id", "text_hash", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("hs"))
-    found = None
-    for w in widths:
-        grams = hashed.select("id", "text_hash", F.explode(_hash_grams(F.col("hs"), w)).alias("h"))
-        hits = grams.join(bounded_broadcast(sketch.where(F.col("w") == w).drop("w"), sketch_rows), "h").select("id", "text_hash", "item_id")
-        found = hits if found is None else found.union(hits)
-    candidates = written(found.distinct(), "candidates")
-    n = candidates.count()
+    # the shingles of every width in one reading; those of another width than an item's are told apart by the check below
+    grams = hashed.select("id", "text_hash", F.explode(F.concat(*[_hash_grams(F.col("hs"), w) for w in widths])).alias("h"))
+    if bytes_of(sketch) <= BROADCAST_BYTES:
+        hits = grams.join(F.broadcast(sketch), "h")
+    else:  # a shingle that very many documents have is dealt over tasks
+        hits = dealt_join(grams, sketch, "h", "text_hash", hot_keys(grams, "h"))
+    candidates = written(hits.select("id", "text_hash", F.explode("items").alias("item_id")).distinct(), "candidates")
     c = candidates.select(F.col("id").alias("c_id"), F.col("text_hash").alias("c_hash"), "item_id")
-    pairs = d.join(bounded_broadcast(c, n), (d.text_hash == F.col("c_hash")) & d.id.eqNullSafe(F.col("c_id")))
-    pairs = pairs.join(bounded_broadcast(items.drop("sketch", "part"), items.count(), 200_000), "item_id")
+    pairs = d.join(bounded_broadcast(c), (d.text_hash == F.col("c_hash")) & d.id.eqNullSafe(F.col("c_id")))
+    pairs = pairs.join(bounded_broadcast(items.drop("sketch", "part")), "item_id")
     held = F.lit(None).cast("array<string>")
     for w in widths:
         held = F.when(F.col("w") == w, _text_grams(words(F.col("text")), w)).otherwise(held)

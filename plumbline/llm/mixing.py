@@ -4,9 +4,12 @@ A source's rate is the mean number of copies of its documents: total * weight /
 inverse of the Poisson distribution at a number in [0, 1) made of its hash; the document is exploded by its count, and
 the copies are shuffled over the whole output by another hash.
 
-Defined cases: a null source is a source of its own; a source without a target weight gets no copies; rows with equal
-ids get equal counts; null ids count as the text "null"; null and empty texts are copied as any; empty tables give
-none; the copies keep all columns.
+The hash is of id, text and occurrence: rows of equal ids and other texts are drawn apart, and so are equal rows, which
+are counted rather than gathered (see common.collapsed).
+
+Defined cases: a null source is a source of its own; a source without a target weight gets no copies; a null id counts
+as an id apart from any other, a null text as another than the empty one; null and empty texts are copied as any; empty
+tables give none; the copies keep all columns, of any type and name.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, fresh, written
+from .common import BROADCAST_BYTES, bytes_of, collapsed, expanded, fresh, row_key, written
 
 SEED, POWER = "mix-1", 0.7
 
@@ -59,17 +62,37 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float
     return written(weighted.mapInPandas(table, f"mix_source {kind}, documents bigint, rate double, cdf array<double>"), "rates")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, id_col: str = "doc_id", source_col: str = "source", seed: str = SEED, details: bool = False) -> DataFrame:
+def _with_rates(docs: DataFrame, table: DataFrame, names: dict[str, str], source_col: str) -> DataFrame:
+    """docs with their sources' rates. Where the distributions take more than a broadcast may, only the large sources'
+    go by it, at most as many as fit; those of few documents each are joined by a shuffle on the source, none of them hot."""
+    source = names["mix_source"]
+    rows = max(1, table.count())
+    if bytes_of(table) <= BROADCAST_BYTES:
+        return docs.join(F.broadcast(table), docs[source_col].eqNullSafe(table[source])).drop(source)
+    most = max(1, BROADCAST_BYTES * rows // (2 * bytes_of(table)))
+    counts = docs.groupBy(F.col(source_col).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    large = written(counts.orderBy(F.desc("n"), "s").limit(most).select(F.col("s").alias(fresh(docs, "large_source"))), "large")
+    is_large = lambda c: c.eqNullSafe(large[large.columns[0]])
+    of_large = table.join(F.broadcast(large), is_large(table[source]), "left_semi")
+    few = docs.join(F.broadcast(large), is_large(docs[source_col]), "left_anti")
+    rest = table.join(F.broadcast(large), is_large(table[source]), "left_anti")
+    out = docs.join(F.broadcast(of_large), docs[source_col].eqNullSafe(of_large[source])).drop(source)
+    return out.unionByName(few.join(rest, few[source_col].eqNullSafe(rest[source])).drop(source))
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = SEED, details: bool = False) -> DataFrame:
     """The copies, with docs' columns, and with details=True mix_copy, mix_copies and mix_rate beside them."""
-    names = {x: fresh(docs, x) for x in ("mix_source", "mix_rate", "mix_cdf", "mix_copies", "mix_copy", "mix_key", "mix_order")}
+    names = {x: fresh(docs, x) for x in ("mix_source", "mix_rate", "mix_cdf", "mix_copies", "mix_copy", "mix_key", "mix_order", "mix_equal", "mix_times", "mix_number")}
     table = rates(docs, weights, total, source_col)
-    table = bounded_broadcast(table.select(F.col("mix_source").alias(names["mix_source"]), F.col("rate").alias(names["mix_rate"]), F.col("cdf").alias(names["mix_cdf"])), bound=100_000)
-    out = docs.join(table, docs[source_col].eqNullSafe(table[names["mix_source"]])).drop(names["mix_source"])
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    out = out.withColumn(names["mix_key"], uniform(key, seed))
+    table = table.select(F.col("mix_source").alias(names["mix_source"]), F.col("rate").alias(names["mix_rate"]), F.col("cdf").alias(names["mix_cdf"]))
+    one = expanded(collapsed(docs, row_key(docs), names["mix_equal"], names["mix_times"]), names["mix_times"], names["mix_number"])
+    out = _with_rates(one, table, names, source_col)
+    said = lambda c, none: F.coalesce(F.md5(F.col(c).cast("string")), F.lit(none))
+    key = F.concat(said(id_col, "none"), F.lit(":"), said(text_col, "none"), F.lit(":"), F.col(names["mix_number"]).cast("string"))
+    out = out.withColumn(names["mix_equal"], key).withColumn(names["mix_key"], uniform(F.col(names["mix_equal"]), seed))
     out = out.withColumn(names["mix_copies"], F.size(F.filter(F.col(names["mix_cdf"]), lambda c: c <= F.col(names["mix_key"])))).where(F.col(names["mix_copies"]) > 0)
     out = out.withColumn(names["mix_copy"], F.explode(F.sequence(F.lit(1), F.col(names["mix_copies"]))))
-    out = out.withColumn(names["mix_order"], F.xxhash64(F.lit(seed), key, F.col(names["mix_copy"])))
+    out = out.withColumn(names["mix_order"], F.xxhash64(F.lit(seed), F.col(names["mix_equal"]), F.col(names["mix_copy"])))
     shown = [F.col(f"`{c}`") for c in docs.columns] + [F.col(names[x]) for x in ("mix_copy", "mix_copies", "mix_rate")] * details
     return out.repartition(F.col(names["mix_order"])).sortWithinPartitions(names["mix_order"]).select(*shown)
 
@@ -79,6 +102,7 @@ def oracle_sql(seed: str = SEED, power: float = POWER) -> str:
     t AS (SELECT sum(n)::double AS total, sum(pow(n::double, {power})) AS w FROM c),
     r AS (SELECT source, total * pow(n::double, {power}) / w / n AS rate FROM c, t),
     p AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1.0))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM r, range(0, 60) AS s(k)),
-    u AS (SELECT doc_id, source, ('0x' || substr(md5('{seed}:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint / {float(1 << 52)} AS u FROM documents),
-    k AS (SELECT u.doc_id, u.source, count(*) AS copies FROM u JOIN p ON p.source IS NOT DISTINCT FROM u.source AND p.cdf <= u.u GROUP BY ALL)
+    o AS (SELECT doc_id, source, coalesce(md5(doc_id::varchar), 'none') || ':' || coalesce(md5(text), 'none') || ':' || (row_number() OVER (PARTITION BY doc_id, text, lang, source, n_chars) - 1) AS key FROM documents),
+    u AS (SELECT doc_id, source, key, ('0x' || substr(md5('{seed}:' || key), 1, 13))::bigint / {float(1 << 52)} AS u FROM o),
+    k AS (SELECT u.doc_id, u.source, u.key, count(*) AS copies FROM u JOIN p ON p.source IS NOT DISTINCT FROM u.source AND p.cdf <= u.u GROUP BY ALL)
     SELECT doc_id, source, unnest(range(1, copies + 1))::int AS copy, copies::int AS copies FROM k"""

@@ -15,7 +15,8 @@
 
 Defined cases: documents without words, or null, have an empty set and link with nothing; with fewer words than a
 shingle, all words make one; rows of equal ids are linked by their own texts; a null id takes part, but a component's
-id is the smallest id that isn't null; texts are read whole; empty tables give no rows; extra columns are ignored.
+id is the smallest id that isn't null; ids may be of any type that has an order; texts are read whole; empty tables give
+no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, bounded_broadcast, dealt_join, fresh, hot_keys, written
+from ..sources.dealing import dealt
+from .common import HOT, bounded_broadcast, dealt_join, fresh, hot_keys, mark, released, written
 from .components import components
 
 THRESHOLD = 0.8
 BANDS, ROWS, SIGNATURE = 42, 6, 504
-BATCH, MISS = 36, 1e-5
+#: The posterior below which a pair is dropped, at each of 14 looks. A pair of similarity exactly 0.8 is then lost with a
+#: probability below 1e-5 over all looks, one of 0.82 below 1e-6 (see test_bayesian_bounds).
+BATCH, MISS = 36, 5e-7
 #: Members of a bucket that one task compares with as many others at once.
 BLOCK = 512
 WORDS_KNOWN = 300_000
@@ -127,8 +131,8 @@ def document_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> Da
                 sigs.append(signature(h) if len(h) else None)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["id", "n", "set_digest", "sig"])
 
-    d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(run, "id bigint, n bigint, set_digest binary, sig binary")
+    d = dealt(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, n bigint, set_digest binary, sig binary")
 
 
 def _with_both(pairs: DataFrame, of_u: DataFrame, of_v: DataFrame) -> DataFrame:
@@ -153,7 +157,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["set_digest", "members"])
 
     ids = bounded_broadcast(need.select(F.col("first_id").alias("need_id")).distinct())
-    d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = d.join(ids, F.col("id").eqNullSafe(F.col("need_id")), "left_semi").select("text")
     sets = texts.mapInArrow(run, "set_digest binary, members array<bigint>").join(bounded_broadcast(need.select("node", "set_digest")), "set_digest").select("node", "members")
     sets = written(sets.dropDuplicates(["node"]), "sets")  # rows of one class have equal sets: any of them will do
@@ -237,6 +241,7 @@ def _compare_buckets(shared: DataFrame, classes: DataFrame, labels: DataFrame, h
 
 def _grouped(docs: DataFrame, width: int, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The rows' sets (see document_sets), and set_digest, first_id, component of each class."""
+    begun = mark()
     percent = round(threshold * 100)
     rows = written(document_sets(docs, width, id_col, text_col), "rows")
     classes = rows.where("n > 0").groupBy("set_digest").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
@@ -252,7 +257,9 @@ def _grouped(docs: DataFrame, width: int, threshold: float, id_col: str, text_co
     more = written(_verified(rest, classes, docs, width, percent, id_col, text_col), "links")
     if more.count():
         labels = components(links.union(more))
-    return rows, classes.join(labels, "node", "left").select("set_digest", "first_id", F.coalesce("component", "node").alias("component"))
+    named = written(classes.join(labels, "node", "left").select("set_digest", "first_id", F.coalesce("component", "node").alias("component")), "named")
+    released(begun, rows, named)
+    return rows, named
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -297,7 +304,7 @@ def deduplicate(docs: DataFrame, width: int = 5, threshold: float = THRESHOLD, i
     ids = written(sets.groupBy("id").agg(F.sum("n").alias("n"), F.sum(stays).alias("k")).where("k < n"), "surplus")
 
     gone, number, digest, order = (fresh(docs, x) for x in ("gone_id", "row_number", "row_digest", "row_order"))
-    key = F.col(id_col).cast("bigint")
+    key = F.col(id_col)
     drop = written(ids.where("k = 0 and id is not null").select(F.col("id").alias(gone)), "gone")
     out = docs.join(bounded_broadcast(drop), key == F.col(gone), "left_anti")
     several = written(ids.where("k > 0 or id is null").select(F.col("id").alias(gone)), "several")

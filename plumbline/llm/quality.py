@@ -1,19 +1,26 @@
 """Quality classifier from weak labels.
 
 Heuristic labellers vote for good, bad, or abstain on each document. Expectation-maximisation over the counts of vote
-patterns (at most 3^m, however many documents there are) estimates each labeller's accuracy and the share of good
-documents, without any given label. Posteriors of a bounded sample then train a linear scorer over hashed word shapes
-and byte shares, and the scorer judges every document.
+patterns (at most 3^m, however many documents there are) estimates the share of good documents and each labeller's
+accuracy in either class, without any given label: there are two classes, and labellers are independent within one.
+Posteriors of a bounded sample then train a linear scorer over hashed word shapes and byte shares, and the scorer
+judges every document.
+
+The labellers' bounds are those that published filters of web text use (symbols to words, mean word length, shares of
+letters and of words without any, the most frequent pair and repeated runs of five words), or round shares; none was set by given labels.
 
 Defined cases: null texts and texts without a word score 0 and are rejected; texts are read whole; equal texts get
-equal scores; an empty table gives no rows; if the labellers don't disagree (no bad or no good votes), the posterior
-of the votes decides; extra columns stay untouched.
+equal scores; an empty table gives no rows; if the labellers don't disagree (no bad or no good posterior), the
+posterior of the votes decides; extra columns stay untouched; the id may be of any type.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from operator import eq
 
 import numpy as np
@@ -23,125 +30,185 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.dealing import dealt
 from .common import fresh, written
 
-#: Documents whose posteriors train the scorer: the bound of the sample. Vote counts cover all documents.
+#: The most documents whose posteriors train the scorer, distinct in id and text; each weighs as often as it occurs,
+#: up to one hundredth of the sample. Vote counts cover all documents.
 SAMPLE = 8000
 FEATURES = 1 << 12
 STEPS, RATE, RIDGE = 600, 1.0, 1e-5
-#: Documents that score less are rejected. Below one half: a good document lost costs more than a bad one kept.
-CUT = 0.3
+#: Documents that score less are rejected.
+CUT = 0.5
 SHAPES_KNOWN = 200_000
 
+# Symbols, full stops of scripts, and the scripts that are written without spaces.
 _SYMBOLS = [ord(c) for c in "#$%&*+<=>@[\\]^_`{|}~"]
-#: The first six only find faults: they vote bad or abstain. The last three vote either way.
-LABELLERS = ("symbols", "capitals", "exclaims", "bars", "joined_symbols", "repeats", "sentences", "word_length", "letters")
-
+_ENDS = re.compile("[.!?;:…։؟۔।॥၊။።፧។。！．？]")
+_NO_SPACES = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿]")
+_BARE = re.compile(rb"[^A-Za-z\x80-\xff]*")
+LABELLERS = ("symbols", "capitals", "exclaims", "wordless", "repeats", "phrases", "stutter", "sentences", "word_length", "letters")
 
-def counts_of(text: str) -> tuple[np.ndarray, list[bytes]]:
-    raw = text.encode("utf-8", "surrogatepass")
-    return np.bincount(np.frombuffer(raw, np.uint8), minlength=256), raw.split()
 
+@dataclass
+class Counts:
+    """What a text's votes and features are made of; the text is read for it once."""
 
-def repeats_of(words: list[bytes]) -> float:
-    """The share of words that repeat the one before."""
-    return sum(map(eq, words, words[1:])) / len(words)
+    text: str
+    bytes: np.ndarray
+    words: list[bytes]
+    pairs: float
+    phrases: float
+    stutter: float
 
 
-def votes_of(h: np.ndarray, words: list[bytes]) -> list[int]:
-    """1 good, -1 bad, 0 abstains, in the order of LABELLERS. h: the text's byte counts."""
-    n, w = int(h.sum()), len(words)
+def counts_of(text: str) -> Counts:
+    raw = text.encode("utf-8", "surrogatepass")
+    words = raw.split()
+    n = max(1, len(words) - 4)
+    fives = set(zip(words, words[1:], words[2:], words[3:], words[4:], strict=False))
+    same = sum(map(eq, words, words[1:]))
+    return Counts(text, np.bincount(np.frombuffer(raw, np.uint8), minlength=256), words, top_pair(words), 1 - len(fives) / n if fives else 0.0, same / max(1, len(words) - 1))
+
+
+def top_pair(words: list[bytes]) -> float:
+    """The share of the words' bytes that lie in occurrences of the most frequent pair of neighbours; 0 if none repeats."""
+    pairs = Counter(zip(words, words[1:], strict=False))
+    if not pairs:
+        return 0.0
+    (a, b), n = max(pairs.items(), key=lambda x: (x[1] * (len(x[0][0]) + len(x[0][1])), x[0]))
+    return n * (len(a) + len(b)) / sum(map(len, words)) if n > 1 else 0.0
+
+
+def votes_of(c: Counts) -> list[int]:
+    """1 good, -1 bad, 0 abstains, in the order of LABELLERS. A labeller whose measure needs spaces abstains on a
+    script that has none."""
+    h, n, w = c.bytes, int(c.bytes.sum()), len(c.words)
     upper, lower, wide = int(h[65:91].sum()), int(h[97:123].sum()), int(h[128:].sum())
     letters, symbols, marks = upper + lower + wide + int(h[48:58].sum()), int(h[_SYMBOLS].sum()), int(h[33])
-    stops, bars = int(h[46] + h[63] + marks), int(h[124])
-    mean = (n - int(h[32] + h[10] + h[9])) / w
-    fault = lambda found: -1 if found else 0
+    spaces = int(h[32] + h[9] + h[10] + h[13])
+    points = len(c.text)
+    dense = wide > n // 4 and len(_NO_SPACES.findall(c.text)) * 4 > points
+    bare = sum(_BARE.fullmatch(x) is not None for x in c.words)
+    mean = (points - spaces) / w
+    ends = len(_ENDS.findall(c.text)) if wide else int(h[46] + h[63] + h[58] + h[59]) + marks
+    either = lambda good, bad: 1 if good else -1 if bad else 0
     return [
-        fault(symbols / n > 0.05),
-        fault(upper / max(1, upper + lower) > 0.4),
-        fault(marks / w > 0.25),
-        fault(bars / w > 0.2),
-        fault((symbols + marks) / w > 0.5),
-        fault(repeats_of(words) > 0.1),
-        0 if w < 20 else 1 if stops / w > 0.04 else -1 if stops / w < 0.005 else 0,
-        1 if 3 <= mean <= 9 else -1 if mean > 14 or mean < 2 else 0,
-        1 if letters / n > 0.7 else -1 if letters / n < 0.55 else 0,
+        0 if dense else either(symbols / w <= 0.02, symbols / w > 0.1),
+        either(upper <= 0.2 * (upper + lower), upper > 0.5 * (upper + lower)) if upper + lower >= 20 else 0,
+        0 if dense else either(marks / w <= 0.02, marks / w > 0.2),
+        either(bare / w <= 0.05, bare / w > 0.2),
+        either(c.pairs <= 0.1, c.pairs > 0.2) if w >= 10 else 0,
+        either(c.phrases <= 0.05, c.phrases > 0.15) if w >= 20 else 0,
+        either(c.stutter <= 0.02, c.stutter > 0.1) if w >= 10 else 0,
+        0 if dense or w < 50 else either(ends * 25 >= w, ends * 200 < w),
+        0 if dense else either(3 <= mean <= 10, mean < 2 or mean > 15),
+        either(letters / n >= 0.75, letters / n < 0.6),
     ]
 
 
+def pattern(votes: list[int]) -> str:
+    return "".join("-0+"[v + 1] for v in votes)
+
+
 def pattern_of(text: str | None) -> str:
     """The votes as one string of +, - and 0; empty for a text without a word."""
-    h, words = counts_of(text or "")
-    return "".join("-0+"[v + 1] for v in votes_of(h, words)) if words else ""
+    c = counts_of(text or "")
+    return pattern(votes_of(c)) if c.words else ""
 
 
-@F.pandas_udf(T.StringType())
-def patterns(texts: pd.Series) -> pd.Series:
-    return texts.map(pattern_of)
+@dataclass
+class LabelModel:
+    """The share of good documents, and each labeller's chances of a bad and a good vote in either class, where it votes.
 
+    An abstention says nothing about the class: it is the measure that doesn't apply, or stays between the bounds.
+    """
 
-def fit_labellers(patterns_: list[str], counts: list[int], rounds: int = 200) -> dict[str, float]:
-    """P(good) of each vote pattern, by expectation-maximisation over labellers independent within a class.
+    good: float = 0.5
+    rates: np.ndarray = field(default_factory=lambda: np.zeros((0, 2, 3)))  # labeller, class (bad, good), vote (bad, none: 1, good)
+    voting: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))  # labeller, class
+    posteriors: dict[str, float] = field(default_factory=dict)
+    rounds: int = 0
 
-    There is one class of good documents and one of bad ones for each labeller, as a document has one fault or
-    another, seldom all. A pattern without a bad vote starts as good, another in the classes of those who voted bad;
-    so the classes keep their names while the rate of each vote in each class is estimated. An abstention is a vote
-    of its own.
+    def posterior(self, votes: str) -> float:
+        """P(good) of a vote pattern, seen in the fitting or not."""
+        if not len(self.rates):
+            return 0.5
+        v = [{"-": 0, "0": 1, "+": 2}[x] for x in votes]
+        bad, good = (math.log(p) + sum(math.log(self.rates[j, k, x]) for j, x in enumerate(v)) for k, p in enumerate((1 - self.good, self.good)))
+        return 1 / (1 + math.exp(max(-700.0, min(700.0, bad - good))))
+
+    def accuracies(self) -> list[tuple[str, float, float, float, float]]:
+        """Labeller, how often its votes are right on good and on bad documents, and how often it votes on them."""
+        out = []
+        for name, r, said in zip(LABELLERS, self.rates, self.voting, strict=False):
+            out.append((name, float(r[1, 2]), float(r[0, 0]), float(said[1]), float(said[0])))
+        return out
+
+
+def fit_labellers(patterns_: list[str], counts: list[int], rounds: int = 500) -> LabelModel:
+    """Expectation-maximisation of the two-class model: from the majority of each pattern's votes, until nothing moves.
+
+    Every rate is smoothed by one pseudo-document over its two votes, whichever the labeller and the class.
     """
     v = np.array([[{"-": 0, "0": 1, "+": 2}[c] for c in p] for p in patterns_])
     c = np.array(counts, float)
-    m = v.shape[1]
-    bad = (v == 0).astype(float)
-    some = bad.sum(1, keepdims=True)
-    q = np.hstack([np.where(some > 0, 0.02, 0.9), np.where(some > 0, 0.98 * bad / np.maximum(some, 1), 0.1 / m)])
-    start = np.array([[0.01, 0.5, 1.0]] + [[0.5, 0.5, 0.1]] * m)  # pseudo-counts of the votes in each class
-    for _ in range(rounds):
-        w = c[:, None] * q
-        log = np.log((w.sum(0) + 0.5) / (c.sum() + 0.5 * (m + 1)))[None, :].repeat(len(c), 0)
-        for j in range(m):
-            seen = np.array([[w[v[:, j] == x, k].sum() for x in range(3)] for k in range(m + 1)]) + start
-            log += np.log(seen / seen.sum(1, keepdims=True)).T[v[:, j]]
-        new = np.exp(log - log.max(1, keepdims=True))
-        new /= new.sum(1, keepdims=True)
-        if np.abs(new - q).max() < 1e-6:
-            break
+    plus, minus = (v == 2).sum(1), (v == 0).sum(1)
+    # a labeller that finds a fault speaks for a few documents, one that finds none for most: a bad vote weighs as much
+    # more as good ones are more frequent in all
+    weight = (c @ plus) / max(1.0, c @ minus)
+    q = (1 + plus) / (2 + plus + weight * minus)
+    rates = voting = good = None
+    for n in range(rounds):
+        w = np.stack([c * (1 - q), c * q], 1)
+        good = (w[:, 1].sum() + 0.5) / (c.sum() + 1)
+        seen = np.array([[[w[v[:, j] == x, k].sum() for x in range(3)] for k in range(2)] for j in range(v.shape[1])])
+        voting = (seen[:, :, 0] + seen[:, :, 2]) / np.maximum(seen.sum(2), 1e-9)
+        rates = seen + np.array([0.5, 0.0, 0.5])
+        rates /= rates[:, :, :1] + rates[:, :, 2:]
+        rates[:, :, 1] = 1.0
+        log = np.log([1 - good, good])[None, :] + sum(np.log(rates[j]).T[v[:, j]] for j in range(v.shape[1]))
+        new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -700, 700)))
+        done = np.abs(new - q).max() < 1e-7
         q = new
-    return dict(zip(patterns_, q[:, 0].tolist(), strict=True))
+        if done:
+            break
+    return LabelModel(float(good), rates, voting, dict(zip(patterns_, q.tolist(), strict=True)), n + 1)
 
 
 class _Shapes(dict):
     """The feature number of a word's shape: runs of capitals, small letters, digits and other letters shortened."""
 
+    _CLASS = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
+    _RUNS = re.compile(rb"([Aa0])\1+")
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= SHAPES_KNOWN:
             self.clear()
-        out = bytearray()
-        for b in word[:64]:
-            s = 65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b
-            if not out or out[-1] != s or s not in (65, 97, 48):
-                out.append(s)
-        self[word] = f = xxhash.xxh32_intdigest(bytes(out[:24])) % (FEATURES - 257)
+        f = xxhash.xxh32_intdigest(self._RUNS.sub(rb"\1", word.translate(self._CLASS))) % (FEATURES - 259)
+        if len(word) <= 64:
+            self[word] = f
         return f
 
 
-def features_of(h: np.ndarray, words: list[bytes], shapes: _Shapes) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values of a text's features: the roots of the shares of hashed shapes, of repeats, and of bytes."""
-    f, n = np.unique(np.fromiter((shapes[w] for w in words), np.int64, len(words)), return_counts=True)
-    b = np.flatnonzero(h)
-    return np.concatenate([f, [FEATURES - 257], b + (FEATURES - 256)]), np.concatenate([np.sqrt(n / len(words)), [np.sqrt(repeats_of(words))], np.sqrt(h[b] / h.sum())])
+def features_of(c: Counts, shapes: _Shapes) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of a text's features: the roots of the shares of hashed shapes, of repeats of each kind, and of bytes."""
+    f, n = np.unique(np.fromiter((shapes[w] for w in c.words), np.int64, len(c.words)), return_counts=True)
+    b = np.flatnonzero(c.bytes)
+    return np.concatenate([f, [FEATURES - 259, FEATURES - 258, FEATURES - 257], b + (FEATURES - 256)]), np.concatenate([np.sqrt(n / len(c.words)), np.sqrt([c.pairs, c.phrases, c.stutter]), np.sqrt(c.bytes[b] / c.bytes.sum())])
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression with soft targets; classes weigh as often as they occur, so the cut rejects no more than it must."""
+def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Logistic regression with soft targets, by gradient descent with momentum; each row weighs what it is given."""
     used = np.unique(np.concatenate([f for f, _ in rows]))
     x = np.zeros((len(rows), len(used)), np.float32)
     for i, (f, v) in enumerate(rows):
         x[i, np.searchsorted(used, f)] = v
-    weight = np.float32(1 / len(target))
+    share = (np.ones(len(target)) if weight is None else weight) / (len(target) if weight is None else weight.sum())
     w, b, momentum, bm = np.zeros(len(used), np.float32), np.float32(0), np.zeros(len(used), np.float32), np.float32(0)
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        g = (weight * (p - target)).astype(np.float32)
+        g = (share * (p - target)).astype(np.float32)
         momentum = np.float32(0.9) * momentum + g @ x + np.float32(RIDGE) * w
         bm = np.float32(0.9) * bm + g.sum()
         w, b = w - np.float32(RATE) * momentum, b - np.float32(RATE) * bm
@@ -151,75 +218,96 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray) -> tupl
 
 
 class Model:
-    """Labeller posteriors and the scorer's weights; its size is fixed by 3^m and FEATURES."""
-
-    def __init__(self, posteriors: dict[str, float], weights: np.ndarray | None, bias: float):
-        self.posteriors, self.weights, self.bias = posteriors, weights, bias
-
-    def score(self, text: str | None, shapes: _Shapes) -> float:
-        h, words = counts_of(text or "")
-        if not words:
-            return 0.0
+    """The label model and the scorer's weights; its size is fixed by 3^m and FEATURES."""
+
+    def __init__(self, labels: LabelModel, weights: np.ndarray | None, bias: float):
+        self.labels, self.weights, self.bias = labels, weights, bias
+
+    def judge(self, text: str | None, shapes: _Shapes) -> tuple[str, float | None, float]:
+        """Votes, their posterior, and the score."""
+        c = counts_of(text or "")
+        if not c.words:
+            return "", None, 0.0
+        p = pattern(votes_of(c))
+        q = self.labels.posteriors.get(p)
+        q = self.labels.posterior(p) if q is None else q
         if self.weights is None:
-            p = "".join("-0+"[v + 1] for v in votes_of(h, words))
-            return self.posteriors.get(p, 0.5)
-        f, v = features_of(h, words, shapes)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(self.weights[f] @ v) + self.bias))))
+            return p, q, q
+        f, v = features_of(c, shapes)
+        return p, q, 1 / (1 + math.exp(-max(-30.0, min(30.0, float(self.weights[f] @ v) + self.bias))))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Vote counts over all documents, then a scorer trained on about `sample` of them, chosen by a hash of id and text."""
-    votes = written(docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), patterns(F.col(text_col)).alias("p")), "votes")
-    table = votes.where("p <> ''").groupBy("p").agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()  # 3^m rows at most
-    if not table:
-        return Model({}, None, 0.0)
-    posteriors = fit_labellers([r["p"] for r in table], [r["n"] for r in table])
-    if max(posteriors.values()) < CUT or min(posteriors.values()) > CUT:
-        return Model(posteriors, None, 0.0)
-    total = sum(r["n"] for r in table)
-    share = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1_000_003)) < int(1_000_003 * min(1.0, sample / total)) + 1
+    """Vote counts over all documents and a scorer trained on at most `sample` of them, from one reading of the texts.
+
+    The sample is of distinct (id, text), those of the smallest hashes; a document that occurs often is drawn at most
+    once. Features are made in the same pass for somewhat more rows than will be drawn, chosen by the hash too.
+    """
+    total = docs.count()
+    share = min(1.0, 1.2 * (sample + 100) / max(1, total))
+    limit = int(share * (1 << 62)) if share < 1 else 1 << 62
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shapes = _Shapes()
         for pdf in batches:
             rows = []
-            for text in pdf["text"]:
-                h, words = counts_of(text or "")
-                if words:
-                    f, v = features_of(h, words, shapes)
-                    rows.append(("".join("-0+"[x + 1] for x in votes_of(h, words)), f.tolist(), v.tolist()))
-            yield pd.DataFrame(rows, columns=["p", "f", "v"])
-
-    drawn = docs.where(share).select(F.col(text_col).alias("text")).mapInPandas(run, "p string, f array<bigint>, v array<double>").collect()  # the bounded sample
+            for h, text in zip(pdf["h"], pdf["text"], strict=True):
+                c = counts_of(text or "")
+                f = features_of(c, shapes) if c.words and h < limit else None
+                rows.append((h, pattern(votes_of(c)) if c.words else "", None if f is None else f[0].tolist(), None if f is None else f[1].tolist()))
+            yield pd.DataFrame(rows, columns=["h", "p", "f", "v"])
+
+    # 62 bits, not negative, so that a share of the hashes is a share of the distinct rows
+    h = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("draw")), 2)
+    seen = dealt(docs.select(h.alias("h"), F.col(text_col).alias("text"))).mapInPandas(run, "h bigint, p string, f array<bigint>, v array<double>")
+    seen = written(seen.where("p <> ''"), "votes")
+    table = seen.groupBy("p").agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()  # 3^m rows at most
+    if not table:
+        return Model(LabelModel(), None, 0.0)
+    labels = fit_labellers([r["p"] for r in table], [r["n"] for r in table])
+    if max(labels.posteriors.values()) < CUT or min(labels.posteriors.values()) >= CUT:
+        return Model(labels, None, 0.0)
+    one = seen.where("f is not null").groupBy("h").agg(F.first(F.struct("p", "f", "v")).alias("x"), F.count(F.lit(1)).alias("n"))
+    drawn = one.orderBy("h").limit(sample).select("x.*", "n").collect()  # bounded by sample
     drawn.sort(key=lambda r: (r["p"], r["f"], r["v"]))
-    target = np.array([posteriors.get(r["p"], 0.5) for r in drawn])
-    if not len(target) or target.min() > CUT or target.max() < CUT:
-        return Model(posteriors, None, 0.0)
-    w, b = train([(np.array(r["f"]), np.array(r["v"])) for r in drawn], target)
-    return Model(posteriors, w, b)
+    target = np.array([labels.posteriors[r["p"]] for r in drawn])
+    if not len(target) or target.min() >= CUT or target.max() < CUT:
+        return Model(labels, None, 0.0)
+    weight = np.minimum(np.array([r["n"] for r in drawn], float), max(1.0, sample / 100))
+    w, b = train([(np.array(r["f"]), np.array(r["v"])) for r in drawn], target, weight)
+    return Model(labels, w, b)
+
 
+def judged(model: Model):
+    """text -> votes, posterior, score."""
 
-def scorer(model: Model):
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("votes string, posterior double, score double")
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         shapes = _Shapes()
         for texts in batches:
-            yield texts.map(lambda t: model.score(t, shapes)).astype("float64")
+            out = pd.DataFrame([model.judge(t, shapes) for t in texts], columns=["votes", "posterior", "score"])
+            yield out.astype({"posterior": "float64", "score": "float64"})
 
-    return score
+    return judge
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """id, votes, posterior of the votes, score, kept."""
     model = fit(docs, id_col, text_col, sample)
-    table = [(p, q) for p, q in model.posteriors.items()]
-    posterior = docs.sparkSession.createDataFrame(table, "votes string, posterior double")
-    out = docs.select(F.col(id_col), patterns(F.col(text_col)).alias("votes"), scorer(model)(F.col(text_col)).alias("score"))
-    out = out.join(F.broadcast(posterior), "votes", "left")  # 3^m rows at most
-    return out.select(id_col, "votes", "posterior", "score", (F.col("score") >= CUT).alias("kept"))
+    out = dealt(docs.select(id_col, text_col)).select(F.col(id_col), judged(model)(F.col(text_col)).alias("j"))
+    return out.select(id_col, "j.votes", "j.posterior", "j.score", (F.col("j.score") >= CUT).alias("kept"))
+
+
+def labeller_accuracies(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """labeller, right_on_good, right_on_bad, votes_on_good, votes_on_bad, as estimated."""
+    spark = docs.sparkSession
+    votes = docs.select(F.pandas_udf(lambda t: t.map(pattern_of), T.StringType())(F.col(text_col)).alias("p"))
+    table = votes.where("p <> ''").groupBy("p").agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()  # 3^m rows at most
+    model = fit_labellers([r["p"] for r in table], [r["n"] for r in table]) if table else LabelModel()
+    return spark.createDataFrame(model.accuracies(), "labeller string, right_on_good double, right_on_bad double, votes_on_good double, votes_on_bad double")
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """docs without those that the classifier rejects."""
-    s = fresh(docs, "quality_score")
-    return docs.withColumn(s, scorer(fit(docs, id_col, text_col, sample))(F.col(text_col))).where(F.col(s) >= CUT).drop(s)
+    j = fresh(docs, "quality_judged")
+    return dealt(docs).withColumn(j, judged(fit(docs, id_col, text_col, sample))(F.col(text_col))).where(F.col(f"{j}.score") >= CUT).drop(j)

@@ -8,7 +8,7 @@ Rows are numbered without gathering them: equal keys are counted first, the dist
 written, and each partition starts at the sum of the partitions before it.
 
 Defined cases: null keys come first; rows with equal keys share a run of positions, so repeated rows are all placed;
-null texts have size 8; an empty table gives no rows; extra columns stay with their rows.
+null texts have size 8; an empty table gives no rows; extra columns, of any type and name, stay with their rows.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, shared_dir
+from .common import collapsed, dealt_join, fresh, hot_keys, row_key, shared_dir, written
 
 SHARDS, SEED, ROUNDS = 24, 2024, 6
 
@@ -55,11 +55,21 @@ def permute(x: np.ndarray, n: int, seed: int = SEED) -> np.ndarray:
 
 def shard_keys(keys: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """keys' columns, position, shard and slot for each row; all columns of `keys` together order the rows."""
-    spark = keys.sparkSession
+    cols, n_col = keys.columns, fresh(keys, "row_count")
+    return _numbered(keys.groupBy(*cols).agg(F.count(F.lit(1)).alias(n_col)), cols, n_col, shards, seed)
+
+
+def _places(counted: DataFrame, shards: int, seed: int) -> DataFrame:
+    """counted (i, k, n: rows of the key) ordered by i and k, with a row for each place of a key."""
+    return _numbered(counted, ["i", "k"], "n", shards, seed)
+
+
+def _numbered(runs: DataFrame, cols: list[str], n_col: str, shards: int, seed: int) -> DataFrame:
+    """cols, position, shard and slot of each row that runs (cols, and how many rows of them) stand for."""
+    spark = runs.sparkSession
     shared_dir(spark)  # so that checkpoint() has its folder
-    cols = keys.columns
-    n_col, pid_col = fresh(keys, "row_count"), fresh(keys, "part_id")
-    runs = keys.groupBy(*cols).agg(F.count(F.lit(1)).alias(n_col))
+    pid_col = fresh(runs, "part_id")
+    runs = runs.select(*cols, n_col)
     runs = runs.repartitionByRange(*[F.col(f"`{c}`").asc_nulls_first() for c in cols]).sortWithinPartitions(*[F.col(f"`{c}`").asc_nulls_first() for c in cols])
     runs = runs.checkpoint()  # fixes which rows a partition has
     runs = runs.withColumn(pid_col, F.spark_partition_id())
@@ -84,18 +94,21 @@ def shard_keys(keys: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataF
             at += int(ends[-1])
 
     extra = [T.StructField("position", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())]
-    return runs.mapInArrow(place, T.StructType([*keys.schema.fields, *extra]))
+    return runs.mapInArrow(place, T.StructType([*(f for f in runs.schema.fields if f.name in cols), *extra]))
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with a shard and a slot. Rows are numbered by id, then by a digest of the text; equal ones share their places."""
-    i, h, rank, at, n = (fresh(docs, x) for x in ("key_id", "key_hash", "key_rank", "place_shard", "place_slot"))
-    keyed = docs.withColumns({i: F.col(id_col), h: F.xxhash64(F.col(text_col))})
-    places = shard_keys(keyed.select(i, h), shards, seed).select(F.col(i).alias("pi"), F.col(h).alias("ph"), F.col("position").alias("pp"), F.col("shard").alias("psh"), F.col("slot").alias("psl"))
-    w = lambda *c: Window.partitionBy(*c)
-    # Rows of one key are interchangeable unless their other columns differ; the k-th of them takes the k-th place.
-    keyed = keyed.withColumn(rank, F.row_number().over(w(i, h).orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(1)])))
-    places = places.withColumn("pr", F.row_number().over(w("pi", "ph").orderBy("pp")))
-    out = keyed.join(places, keyed[i].eqNullSafe(places["pi"]) & (keyed[h] == places["ph"]) & (keyed[rank] == places["pr"]))
+    """docs with a shard and a slot. Rows are numbered by id, then by a hash of the whole row.
+
+    Equal rows are interchangeable: they are collapsed to one with a count, which takes a run of places and is copied to
+    each, a long run dealt over tasks. So whole rows cross one shuffle, to meet their places, and no key is gathered.
+    """
+    i, k, n = (fresh(docs, x) for x in ("place_id", "place_key", "place_copies"))
+    one = collapsed(docs, row_key(docs), k, n)
+    at = one.select(F.col(f"`{id_col}`").alias("i"), F.col(k).alias("k"), F.col(n).alias("n"))
+    places = written(_places(at, shards, seed).select(F.col("k").alias(k), F.col("shard").alias("s"), F.col("slot").alias("t")), "places")
     names = {"shard": fresh(docs, "shard"), "slot": fresh(docs, "slot")}
-    return out.select(*[keyed[f"`{c}`"] for c in docs.columns], F.col("psh").alias(names["shard"]), F.col("psl").alias(names["slot"]))
+    rows = one.drop(n).withColumnRenamed(k, i)
+    rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(i).alias(k))
+    out = dealt_join(places, rows, k, "t", hot_keys(places, k))
+    return out.select("row.*", F.col("s").alias(names["shard"]), F.col("t").alias(names["slot"]))

@@ -5,12 +5,16 @@ into pre-tokens by the tokenizer's own pattern; a whole one counts as one token,
 each distinct one once. Equal to encoding the whole text, as merges never cross pre-tokens and each pre-token is its
 own only pre-token when it stands alone.
 
+That holds for byte-level tokenizers of one known pattern, without a normaliser and with plain special strings: a file
+is looked into first, and texts of any other (a SentencePiece model too) are encoded whole by its library.
+
 Defined cases: null texts count as empty (0 tokens); special strings in a text count as the library counts them by
-default; texts are read whole; equal rows get equal counts; extra columns are ignored.
+default; texts are read whole; equal rows get equal counts; extra columns are ignored; ids may be of any type.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -18,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.dealing import dealt
+
 LIMIT = 512
 #: The byte-level pattern of this family of tokenizers (fixed values).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -36,6 +42,18 @@ def load(path: str):
     return t
 
 
+def splits_by_pattern(path: str) -> bool:
+    """Whether the file's tokenizer is of the kind that PATTERN stands for."""
+    if not path.endswith(".json"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    plain = not any(t.get(x) for t in spec.get("added_tokens") or [] for x in ("lstrip", "rstrip", "single_word", "normalized"))
+    level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+    return bool(level and plain and not spec.get("normalizer") and model.get("type", "BPE") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix"))
+
+
 def whole_tokens(path: str) -> list[str]:
     """The strings of the vocabulary that encode alone as one token: at most as many as the vocabulary has."""
     t = load(path)
@@ -79,20 +97,34 @@ class Counter:
         return out
 
 
-_counters: dict[str, Counter] = {}
+class Library:
+    """Counts by the library alone, whole texts."""
+
+    def __init__(self, path: str):
+        if path.endswith(".model"):
+            import sentencepiece
+
+            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.count = lambda texts: [len(x) for x in model.encode(texts)]
+        else:
+            t = load(path)
+            self.count = lambda texts: [len(x.ids) for x in t.encode_batch(texts, add_special_tokens=False)]
+
+
+_counters: dict[str, Counter | Library] = {}
 
 
-def counter_of(path: str, shared) -> Counter:
+def counter_of(path: str, shared) -> Counter | Library:
     """The worker's own counter: the library's model is loaded once, not for every task."""
     if path not in _counters:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _counters[path] = Counter(path, shared.value)
+        _counters[path] = Library(path) if shared is None else Counter(path, shared.value)
     return _counters[path]
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """id, n_bytes, n_tokens, over_limit for each document; one pass without a shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))  # bounded by the vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast(whole_tokens(path)) if splits_by_pattern(path) else None  # bounded by the vocabulary
 
     @F.pandas_udf("bigint")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -104,5 +136,5 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield pd.Series(counts, dtype="int64")
 
     t = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col), F.octet_length(t).cast("bigint").alias("n_bytes"), tokens(t).alias("n_tokens"))
+    d = dealt(docs.select(id_col, text_col)).select(F.col(id_col), F.octet_length(t).cast("bigint").alias("n_bytes"), tokens(t).alias("n_tokens"))
     return d.select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -2,14 +2,14 @@
 
 Each partition of pages becomes archives that are one gzip stream as a whole. The normaliser inflates such a stream
 once, rewrites every record as a gzip member of its own, and writes a sidecar index of offsets; the reader takes
-records by their offsets. Of records with equal payloads of at least MIN_REVISIT bytes, that with the largest page_id
+records by their offsets. A response's block is an HTTP head and the payload, and a warcinfo record begins each archive. Of records with equal payloads of at least MIN_REVISIT bytes, that with the largest page_id
 is a response and the others are revisits without a payload.
 
 Files are reached through pyarrow's file systems at the shared folder, by executors, in names of their own for each
 attempt: only archives that a finished task reported are read.
 
-Defined cases: a null html is an empty payload; a null url has no target header; repeated page_ids with equal payloads
-are all responses if they are the largest; null ids count as the smallest; empty tables give no archives.
+Defined cases: page ids are integers, or become null; a null html is an empty payload; a null url has no target header; repeated page_ids with equal payloads
+are all responses if they are the largest, each a record of its own; null ids count as the smallest; empty tables give no archives.
 """
 
 from __future__ import annotations
@@ -26,12 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, scratch, written
+from .common import BROADCAST_BYTES, HOT, bytes_of, collapsed, dealt_join, drop, expanded, row_key, scratch, written
 
 MIN_REVISIT = 1000
 #: Inflated bytes after which a partition starts another archive.
 ROLL = 256 << 20
-SALTS = 64
 CHUNK = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 
@@ -42,15 +41,36 @@ def _fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def record(page_id, url, payload: bytes, digest: str, size: int, kind: str, refers) -> bytes:
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}')}>", f"WARC-Date: {DATE}"]
+HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
+
+
+def record_id(page_id, digest: str, row: str) -> str:
+    """A record's name: of the page, its payload, and of its url and number among equal rows."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}/{row}')}>"
+
+
+def _target(url: str) -> str:
+    return quote(url, safe=":/?#[]@!$&()*+,;=%~")
+
+
+def record(page_id, row: str, url, payload: bytes, digest: str, size: int, kind: str, refers, refers_row) -> bytes:
+    """A response with its HTTP head and payload, or a revisit with the head alone."""
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest, row)}", f"WARC-Date: {DATE}"]
     if url is not None:
-        head.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~')}")
+        head.append(f"WARC-Target-URI: {_target(url)}")
     head += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Page-Id: {'' if page_id is None else page_id}", f"X-Payload-Length: {size}"]
     if kind == "revisit":
-        head += [f"X-Refers-To-Page: {refers}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+        head += [f"WARC-Refers-To: {record_id(refers, digest, refers_row)}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page: {refers}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+    block = HTTP.format(size).encode() + payload
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def warcinfo(name: str) -> bytes:
+    """The first record of an archive."""
+    body = "software: plumbline\r\nformat: WARC File Format 1.1\r\nconformsTo: http://iipc.github.io/warc-specifications/specifications/warc-format/warc-1.1/\r\n".encode()
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {DATE}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
 def records(stream: Iterator[bytes]) -> Iterator[tuple[dict, bytes, bytes]]:
@@ -97,20 +117,30 @@ def member(raw: bytes) -> bytes:
     return z.compress(raw) + z.flush()
 
 
-def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", salts: int = SALTS) -> DataFrame:
-    """page_id, url, payload, digest, size, kind, refers for each page.
+def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """page_id, row, url, payload, digest, size, kind, refers, refers_row for each page.
 
-    The largest page_id of each repeated payload is found by a pre-aggregated grouping; its rows are copied `salts`
-    times for the join, so that a payload of many pages is dealt over as many tasks.
+    The largest page_id of each repeated payload is found by a pre-aggregated grouping. If the repeated payloads' table
+    fits a broadcast, no payload is shuffled; else pages of one payload are dealt over tasks.
     """
-    p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
-    p = p.withColumns({"digest": F.sha1("payload"), "size": F.length("payload").cast("bigint")})
-    key = p.where(F.col("size") >= MIN_REVISIT).select("page_id", "digest", "size")
-    top = key.groupBy("digest", "size").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    top = top.select("digest", "size", "top", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    p = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(top, ["digest", "size", "salt"], "left")
-    revisit = F.coalesce(F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")), F.lit(False))
-    return p.select("page_id", "url", F.when(revisit, F.lit(b"")).otherwise(F.col("payload")).alias("payload"), "digest", "size", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("top")).alias("refers"))
+    p = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
+    p = expanded(collapsed(p, row_key(p), "equal", "times").drop("equal"), "times", "number").drop("times")
+    of_url = F.xxhash64(F.coalesce("url", F.lit("")))
+    p = p.withColumns({"of_url": of_url, "row": F.concat_ws("/", of_url, "number"), "digest": F.sha1("payload"), "size": F.length("payload").cast("bigint")})
+    key = p.where(F.col("size") >= MIN_REVISIT).select("page_id", "of_url", "digest")
+    top = key.groupBy("digest").agg(F.max(F.struct("page_id", "of_url")).alias("top"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    top = written(top.select("digest", "rows", F.col("top.page_id").alias("top"), F.concat(F.col("top.of_url").cast("string"), F.lit("/0")).alias("top_row")), "repeated")
+    if bytes_of(top) <= BROADCAST_BYTES:
+        p = p.join(F.broadcast(top.drop("rows")), "digest", "left")
+    else:
+        large = p.where(F.col("size") >= MIN_REVISIT)
+        all_ = written(key.select("digest").distinct().join(top.drop("rows"), "digest", "left"), "payloads")
+        hot = written(top.where(F.col("rows") > HOT).select("digest", "rows"), "hot")
+        nothing = {"top": F.lit(None).cast("bigint"), "top_row": F.lit(None).cast("string")}
+        p = dealt_join(large, all_, "digest", "row", hot).unionByName(p.where(F.col("size") < MIN_REVISIT).withColumns(nothing))
+    revisit = F.coalesce((F.col("size") >= MIN_REVISIT) & F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")), F.lit(False))
+    refers = [F.when(revisit, F.col(a)).alias(b) for a, b in (("top", "refers"), ("top_row", "refers_row"))]
+    return p.select("page_id", "row", "url", F.when(revisit, F.lit(b"")).otherwise(F.col("payload")).alias("payload"), "digest", "size", F.when(revisit, "revisit").otherwise("response").alias("kind"), *refers)
 
 
 def write_archives(decided: DataFrame, folder: str) -> DataFrame:
@@ -133,8 +163,9 @@ def write_archives(decided: DataFrame, folder: str) -> DataFrame:
                 if out is None:
                     path, z, size, n = f"{base}/{uuid.uuid4().hex}.warc.gz", zlib.compressobj(1, zlib.DEFLATED, 31), 0, 0
                     out = fs.open_output_stream(path, compression=None)  # compressed here already
+                    out.write(z.compress(warcinfo(path.rsplit("/", 1)[1])))
                 ids = [None if pd.isna(x) else int(x) for x in (r.page_id, r.refers)]
-                raw = record(ids[0], r.url, bytes(r.payload), r.digest, r.size, r.kind, ids[1])
+                raw = record(ids[0], r.row, r.url, bytes(r.payload), r.digest, r.size, r.kind, ids[1], r.refers_row)
                 out.write(z.compress(raw))
                 size, n = size + len(raw), n + 1
                 if size >= ROLL:
@@ -180,8 +211,11 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                         _, at, length = json.loads(line)
                         file.seek(at)
                         head, block, _ = next(records(iter([zlib.decompress(file.read(length), 31)])))
-                        digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
                         kind = head["WARC-Type"]
+                        if kind == "warcinfo":
+                            continue
+                        digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
+                        block = block[block.index(b"\r\n\r\n") + 4 :]
                         if kind == "response" and hashlib.sha1(block).hexdigest() != digest:
                             raise ValueError(f"a record in {path} has another payload than its digest says")
                         rows.append((int(head["X-Page-Id"]) if head.get("X-Page-Id") else None, int(head["X-Payload-Length"]), digest, kind, int(head["X-Refers-To-Page"]) if kind == "revisit" else None, len(block)))
@@ -203,7 +237,7 @@ def round_trip(pages: DataFrame, keep: str | None = None) -> DataFrame:
     """Writes, normalises and reads back; the archives go afterwards unless `keep` names a folder for them."""
     spark = pages.sparkSession
     mono, final = scratch(spark, "warc-mono"), keep or scratch(spark, "warc")
-    archives = written(write_archives(decide(pages), mono), "warc-list")
+    archives = written(write_archives(decide(pages), mono), "warc-list")  # records: without the warcinfo of each
     done = written(normalise(archives.repartition(max(1, archives.count())), final), "warc-done")
     drop(spark, mono)
     out = written(read_archives(done.repartition(max(1, done.count())), final), "warc-read")
