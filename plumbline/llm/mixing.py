@@ -42,6 +42,11 @@ def uniform(key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), key)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with the value made once, however often f looks at it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, source_col: str = "source", power: float = POWER) -> DataFrame:
     """mix_source, documents, rate, cdf of each source. Without weights, a source weighs its count to the given power."""
     counts = written(docs.groupBy(F.col(source_col).alias("mix_source")).agg(F.count(F.lit(1)).alias("documents")), "sources")
@@ -89,10 +94,16 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
     out = _with_rates(one, table, names, source_col)
     said = lambda c, none: F.coalesce(F.md5(F.col(c).cast("string")), F.lit(none))
     key = F.concat(said(id_col, "none"), F.lit(":"), said(text_col, "none"), F.lit(":"), F.col(names["mix_number"]).cast("string"))
-    out = out.withColumn(names["mix_equal"], key).withColumn(names["mix_key"], uniform(F.col(names["mix_equal"]), seed))
-    out = out.withColumn(names["mix_copies"], F.size(F.filter(F.col(names["mix_cdf"]), lambda c: c <= F.col(names["mix_key"])))).where(F.col(names["mix_copies"]) > 0)
-    out = out.withColumn(names["mix_copy"], F.explode(F.sequence(F.lit(1), F.col(names["mix_copies"]))))
-    out = out.withColumn(names["mix_order"], F.xxhash64(F.lit(seed), F.col(names["mix_equal"]), F.col(names["mix_copy"])))
+
+    def drawn(k: Column) -> Column:
+        """A (copy, copies, order) for each copy of the document of this key."""
+        count = _let(uniform(k, seed), lambda u: F.size(F.filter(F.col(names["mix_cdf"]), lambda c: c <= u)))
+        each = lambda n: F.transform(F.filter(F.sequence(F.lit(0), n), lambda i: i > 0), lambda i: F.struct(i.alias("copy"), n.alias("copies"), F.xxhash64(F.lit(seed), k, i).alias("order")))
+        return _let(count, each)
+
+    out = out.withColumn(names["mix_key"], F.explode(_let(key, drawn)))
+    parts = {"mix_copy": "copy", "mix_copies": "copies", "mix_order": "order"}
+    out = out.withColumns({names[k]: F.col(names["mix_key"])[v] for k, v in parts.items()})
     shown = [F.col(f"`{c}`") for c in docs.columns] + [F.col(names[x]) for x in ("mix_copy", "mix_copies", "mix_rate")] * details
     return out.repartition(F.col(names["mix_order"])).sortWithinPartitions(names["mix_order"]).select(*shown)
 
