@@ -18,14 +18,11 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from operator import eq
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,23 +37,84 @@ FEATURES = 1 << 12
 STEPS, RATE, RIDGE = 600, 1.0, 1e-5
 #: Documents that score less are rejected.
 CUT = 0.5
-SHAPES_KNOWN = 200_000
 
 # Symbols, full stops of scripts, and the scripts that are written without spaces.
 _SYMBOLS = [ord(c) for c in "#$%&*+<=>@[\\]^_`{|}~"]
 _ENDS = re.compile("[.!?;:…։؟۔।॥၊။።፧។。！．？]")
 _NO_SPACES = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿]")
-_BARE = re.compile(rb"[^A-Za-z\x80-\xff]*")
 LABELLERS = ("symbols", "capitals", "exclaims", "wordless", "repeats", "phrases", "stutter", "sentences", "word_length", "letters")
 
 
+#: Bytes that are looked at together, cut at white space, so that a long text takes little memory beside itself.
+CHUNK = 1 << 20
+_SPACE, _LETTER, _RUN = (np.zeros(256, bool) for _ in range(3))
+_SPACE[list(b" \t\n\r\v\f")] = True
+_SHAPE = np.arange(256, dtype=np.uint8)  # capitals are A, other letters a, digits 0; runs of those are shortened
+_SHAPE[97:123] = _SHAPE[128:] = 97
+_SHAPE[65:91], _SHAPE[48:58] = 65, 48
+_RUN[[65, 97, 48]] = True
+_LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
+_BASE = 0x100000001B3
+_LOW = np.array([1], np.uint64).repeat(1 << 16)
+with np.errstate(over="ignore"):
+    _LOW[1:] = np.multiply.accumulate(np.full((1 << 16) - 1, _BASE, np.uint64))
+    _HIGH = np.multiply.accumulate(np.concatenate([[1], np.full((1 << 15) - 1, pow(_BASE, 1 << 16, 1 << 64))]).astype(np.uint64))
+
+
+def _hashes(values: np.ndarray, place: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A 64-bit polynomial hash of each run of bytes, from its places (0, 1, ...) and the runs' starts."""
+    with np.errstate(over="ignore"):
+        power = _LOW[place & 0xFFFF] * _HIGH[place >> 16] if len(place) and place.max() >= 1 << 16 else _LOW[place]
+        h = np.add.reduceat((values.astype(np.uint64) + np.uint64(1)) * power, starts)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+    return h ^ h >> np.uint64(32)
+
+
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """hash, length and shape of each word, and how many have no letter."""
+    at = np.flatnonzero(~_SPACE[data])
+    if not len(at):
+        none = np.zeros(0, np.uint64)
+        return none, none, none, 0
+    first = np.concatenate([[True], np.diff(at) > 1])
+    starts = np.flatnonzero(first)
+    lengths = np.diff(np.append(starts, len(at)))
+    of = data[at]
+    place = np.arange(len(at)) - np.repeat(starts, lengths)
+    bare = int(np.count_nonzero(~np.logical_or.reduceat(_LETTER[of], starts)))
+    shape = _SHAPE[of]
+    kept = first | ~_RUN[shape] | np.concatenate([[True], shape[1:] != shape[:-1]])
+    n = np.add.reduceat(kept.astype(np.int64), starts)
+    begin = np.cumsum(n) - n
+    shapes = _hashes(shape[kept], np.arange(int(n.sum())) - np.repeat(begin, n), begin) % np.uint64(FEATURES - 259)
+    return _hashes(of, place, starts), lengths.astype(np.uint64), shapes, bare
+
+
+def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """_words of a text of any length, chunk by chunk."""
+    data, out, a = np.frombuffer(raw, np.uint8), [], 0
+    while a < len(data):
+        b = min(a + CHUNK, len(data))
+        while b < len(data) and not _SPACE[data[b]]:  # up to the end of the word
+            far = np.flatnonzero(_SPACE[data[b : b + CHUNK]])
+            b = b + int(far[0]) if len(far) else min(b + CHUNK, len(data))
+        out.append(_words(data[a:b]))
+        a = b
+    if not out:
+        return _words(data)
+    return *(np.concatenate([x[i] for x in out]) for i in range(3)), sum(x[3] for x in out)
+
+
 @dataclass
 class Counts:
     """What a text's votes and features are made of; the text is read for it once."""
 
     text: str
     bytes: np.ndarray
-    words: list[bytes]
+    words: int
+    bare: int  # words without a letter
+    shapes: np.ndarray  # feature numbers, one for each word
     pairs: float
     phrases: float
     stutter: float
@@ -64,32 +122,31 @@ class Counts:
 
 def counts_of(text: str) -> Counts:
     raw = text.encode("utf-8", "surrogatepass")
-    words = raw.split()
-    n = max(1, len(words) - 4)
-    fives = set(zip(words, words[1:], words[2:], words[3:], words[4:], strict=False))
-    same = sum(map(eq, words, words[1:]))
-    return Counts(text, np.bincount(np.frombuffer(raw, np.uint8), minlength=256), words, top_pair(words), 1 - len(fives) / n if fives else 0.0, same / max(1, len(words) - 1))
-
-
-def top_pair(words: list[bytes]) -> float:
-    """The share of the words' bytes that lie in occurrences of the most frequent pair of neighbours; 0 if none repeats."""
-    pairs = Counter(zip(words, words[1:], strict=False))
-    if not pairs:
-        return 0.0
-    (a, b), n = max(pairs.items(), key=lambda x: (x[1] * (len(x[0][0]) + len(x[0][1])), x[0]))
-    return n * (len(a) + len(b)) / sum(map(len, words)) if n > 1 else 0.0
+    h, lengths, shapes, bare = words_of(raw)
+    n, stutter, phrases, pairs = len(h), 0.0, 0.0, 0.0
+    with np.errstate(over="ignore"):
+        if n > 1:
+            stutter = np.count_nonzero(h[1:] == h[:-1]) / (n - 1)
+            _, at, count = np.unique(h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:], return_index=True, return_counts=True)
+            pairs = float((count * (lengths[at] + lengths[at + 1]) * (count > 1)).max() / lengths.sum())
+        if n > 4:
+            fives = np.zeros(n - 4, np.uint64)
+            for i in range(5):
+                fives = (fives ^ h[i : i + n - 4]) * np.uint64(0x9FB21C651E98DF25)
+                fives ^= fives >> np.uint64(32)
+            phrases = 1 - len(np.unique(fives)) / (n - 4)
+    return Counts(text, np.bincount(np.frombuffer(raw, np.uint8), minlength=256), n, bare, shapes.astype(np.int64), pairs, phrases, stutter)
 
 
 def votes_of(c: Counts) -> list[int]:
     """1 good, -1 bad, 0 abstains, in the order of LABELLERS. A labeller whose measure needs spaces abstains on a
     script that has none."""
-    h, n, w = c.bytes, int(c.bytes.sum()), len(c.words)
+    h, n, w = c.bytes, int(c.bytes.sum()), c.words
     upper, lower, wide = int(h[65:91].sum()), int(h[97:123].sum()), int(h[128:].sum())
     letters, symbols, marks = upper + lower + wide + int(h[48:58].sum()), int(h[_SYMBOLS].sum()), int(h[33])
     spaces = int(h[32] + h[9] + h[10] + h[13])
     points = len(c.text)
     dense = wide > n // 4 and len(_NO_SPACES.findall(c.text)) * 4 > points
-    bare = sum(_BARE.fullmatch(x) is not None for x in c.words)
     mean = (points - spaces) / w
     ends = len(_ENDS.findall(c.text)) if wide else int(h[46] + h[63] + h[58] + h[59]) + marks
     either = lambda good, bad: 1 if good else -1 if bad else 0
@@ -97,7 +154,7 @@ def votes_of(c: Counts) -> list[int]:
         0 if dense else either(symbols / w <= 0.02, symbols / w > 0.1),
         either(upper <= 0.2 * (upper + lower), upper > 0.5 * (upper + lower)) if upper + lower >= 20 else 0,
         0 if dense else either(marks / w <= 0.02, marks / w > 0.2),
-        either(bare / w <= 0.05, bare / w > 0.2),
+        either(c.bare / w <= 0.05, c.bare / w > 0.2),
         either(c.pairs <= 0.1, c.pairs > 0.2) if w >= 10 else 0,
         either(c.phrases <= 0.05, c.phrases > 0.15) if w >= 20 else 0,
         either(c.stutter <= 0.02, c.stutter > 0.1) if w >= 10 else 0,
@@ -176,26 +233,11 @@ def fit_labellers(patterns_: list[str], counts: list[int], rounds: int = 500) ->
     return LabelModel(float(good), rates, voting, dict(zip(patterns_, q.tolist(), strict=True)), n + 1)
 
 
-class _Shapes(dict):
-    """The feature number of a word's shape: runs of capitals, small letters, digits and other letters shortened."""
-
-    _CLASS = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
-    _RUNS = re.compile(rb"([Aa0])\1+")
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= SHAPES_KNOWN:
-            self.clear()
-        f = xxhash.xxh32_intdigest(self._RUNS.sub(rb"\1", word.translate(self._CLASS))) % (FEATURES - 259)
-        if len(word) <= 64:
-            self[word] = f
-        return f
-
-
-def features_of(c: Counts, shapes: _Shapes) -> tuple[np.ndarray, np.ndarray]:
+def features_of(c: Counts) -> tuple[np.ndarray, np.ndarray]:
     """Places and values of a text's features: the roots of the shares of hashed shapes, of repeats of each kind, and of bytes."""
-    f, n = np.unique(np.fromiter((shapes[w] for w in c.words), np.int64, len(c.words)), return_counts=True)
-    b = np.flatnonzero(c.bytes)
-    return np.concatenate([f, [FEATURES - 259, FEATURES - 258, FEATURES - 257], b + (FEATURES - 256)]), np.concatenate([np.sqrt(n / len(c.words)), np.sqrt([c.pairs, c.phrases, c.stutter]), np.sqrt(c.bytes[b] / c.bytes.sum())])
+    n = np.bincount(c.shapes)
+    f, b = np.flatnonzero(n), np.flatnonzero(c.bytes)
+    return np.concatenate([f, [FEATURES - 259, FEATURES - 258, FEATURES - 257], b + (FEATURES - 256)]), np.concatenate([np.sqrt(n[f] / c.words), np.sqrt([c.pairs, c.phrases, c.stutter]), np.sqrt(c.bytes[b] / c.bytes.sum())])
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
@@ -223,7 +265,7 @@ class Model:
     def __init__(self, labels: LabelModel, weights: np.ndarray | None, bias: float):
         self.labels, self.weights, self.bias = labels, weights, bias
 
-    def judge(self, text: str | None, shapes: _Shapes) -> tuple[str, float | None, float]:
+    def judge(self, text: str | None) -> tuple[str, float | None, float]:
         """Votes, their posterior, and the score."""
         c = counts_of(text or "")
         if not c.words:
@@ -233,7 +275,7 @@ class Model:
         q = self.labels.posterior(p) if q is None else q
         if self.weights is None:
             return p, q, q
-        f, v = features_of(c, shapes)
+        f, v = features_of(c)
         return p, q, 1 / (1 + math.exp(-max(-30.0, min(30.0, float(self.weights[f] @ v) + self.bias))))
 
 
@@ -248,12 +290,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     limit = int(share * (1 << 62)) if share < 1 else 1 << 62
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shapes = _Shapes()
         for pdf in batches:
             rows = []
             for h, text in zip(pdf["h"], pdf["text"], strict=True):
                 c = counts_of(text or "")
-                f = features_of(c, shapes) if c.words and h < limit else None
+                f = features_of(c) if c.words and h < limit else None
                 rows.append((h, pattern(votes_of(c)) if c.words else "", None if f is None else f[0].tolist(), None if f is None else f[1].tolist()))
             yield pd.DataFrame(rows, columns=["h", "p", "f", "v"])
 
@@ -283,9 +324,8 @@ def judged(model: Model):
 
     @F.pandas_udf("votes string, posterior double, score double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        shapes = _Shapes()
         for texts in batches:
-            out = pd.DataFrame([model.judge(t, shapes) for t in texts], columns=["votes", "posterior", "score"])
+            out = pd.DataFrame([model.judge(t) for t in texts], columns=["votes", "posterior", "score"])
             yield out.astype({"posterior": "float64", "score": "float64"})
 
     return judge

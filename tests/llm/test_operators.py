@@ -722,14 +722,14 @@ def test_scorer_equals_plain_regression(spark, documents):
         out = Counter()
         for w in words:
             shape = re.sub(rb"([Aa0])\1+", rb"\1", bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b > 127 else 48 if 48 <= b <= 57 else b for b in w))
-            out[xxhash.xxh32_intdigest(shape) % (4096 - 259)] += 1
+            h = sum((b + 1) * pow(0x100000001B3, i, 2**64) for i, b in enumerate(shape)) % 2**64
+            h = (h ^ h >> 32) * 0x9E3779B97F4A7C15 % 2**64
+            out[(h ^ h >> 32) % (4096 - 259)] += 1
         x = np.zeros(4096)
         for f, k in out.items():
             x[f] = math.sqrt(k / len(words))
         pairs = Counter(zip(words, words[1:]))
-        top = max(((k * len(a + b), k) for (a, b), k in pairs.items()), default=(0, 0))
-        best = [k for (a, b), k in pairs.items() if k * len(a + b) == top[0]]
-        x[4096 - 259] = math.sqrt(top[0] / sum(map(len, words))) if best and max(best) > 1 else 0
+        x[4096 - 259] = math.sqrt(max((k * len(a + b) for (a, b), k in pairs.items() if k > 1), default=0) / max(1, sum(map(len, words))))
         fives = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
         x[4096 - 258] = math.sqrt(1 - len(set(fives)) / len(fives)) if fives else 0
         x[4096 - 257] = math.sqrt(sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words) - 1))
@@ -752,6 +752,19 @@ def test_scorer_equals_plain_regression(spark, documents):
     assert all(by_text[t].kept == (p >= quality.CUT) for t, p in zip(some, want) if abs(p - quality.CUT) > 0.02)
 
 
+def test_words_of_long_texts(monkeypatch):
+    """Chunks of any size give the same words; a word may be longer than a chunk."""
+    raw = ("Some  wörds 12ab\n" * 50 + "x" * 70_000 + "A1" * 40_000 + " \t end").encode()
+    whole = quality.words_of(raw)
+    assert whole[1].tolist() == [len(w) for w in raw.split()] and whole[3] == 0 and quality.words_of(b"1 ! a1 --")[3] == 3
+    assert len(set(quality.words_of(b"ab ba ab a b aab")[0].tolist())) == 5
+    for size in (1, 7, 4096):
+        monkeypatch.setattr(quality, "CHUNK", size)
+        got = quality.words_of(raw)
+        assert all(np.array_equal(a, b) for a, b in zip(got, whole))
+    assert len(quality.words_of(b"")[0]) == len(quality.words_of(b" \n ")[0]) == 0
+
+
 def test_quality_sample_is_bounded(spark, monkeypatch):
     """One row that occurs 20,000 times is drawn once; no more rows than the bound reach the driver."""
     good = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("Some plain words of a document, number "), "id", F.lit(". They end well. And so on here.")).alias("text"))
