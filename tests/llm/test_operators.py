@@ -361,6 +361,15 @@ def test_other_tokenizers_count_whole_texts(spark, vocabulary):
         assert {r.doc_id: r.n_tokens for r in tokens.count_tokens(df, path).collect()} == {i: of(t) for i, t in enumerate(texts)}
 
 
+def test_near_pattern_splits_alike():
+    """Every code point that the faster pattern is for, alone and beside others."""
+    regex = pytest.importorskip("regex")
+    far, near = regex.compile(tokens.PATTERN).findall, re.compile(tokens.near_pattern()).findall
+    for c in map(chr, range(tokens.NEAR)):
+        for text in (c, f"a{c}b", f"1{c} {c}{c}2", f" {c}!{c}  {c}\n{c}", f"'{c}'s{c}"):
+            assert far(text) == near(text), text
+
+
 def test_whole_tokens_are_proven(vocabulary):
     t, whole = tokens.load(vocabulary), tokens.whole_tokens(vocabulary)
     assert len(whole) > 40_000 and all(len(t.encode(s, add_special_tokens=False).ids) == 1 for s in whole[::97])
