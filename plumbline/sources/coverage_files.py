@@ -79,12 +79,13 @@ def lcov(texts: DataFrame, base: Column | None = None) -> DataFrame:
     """
     pieces = texts.select("source", F.explode(F.split("text", r"(?m)^(?=SF:|end_of_record)")).alias("piece"))
     sf = F.when(F.col("piece").startswith("SF:"), F.regexp_extract("piece", r"\ASF:([^\r\n]*)", 1))
-    rows = pieces.select("source", sf.alias("sf"), F.explode(F.split("piece", "\r?\n")).alias("raw"))
-    rows = rows.select("source", "sf", "raw", F.regexp_extract("raw", "^([A-Z]+):", 1).alias("tag"), F.regexp_extract("raw", r"(?s)^[A-Z]+:(.*?)\r?$", 1).alias("v"))
+    folder = F.regexp_replace("source", "/[^/]*$", "") if base is None else base
+    pieces = pieces.select("source", "piece", sf.alias("sf")).select("source", "piece", F.when(F.col("sf").isNotNull(), _resolved(F.col("sf"), folder)).alias("path"))
+    rows = pieces.select("source", "path", F.explode(F.split("piece", "\r?\n")).alias("raw"))
+    rows = rows.select("source", "path", "raw", F.regexp_extract("raw", "^([A-Z]+):", 1).alias("tag"), F.regexp_extract("raw", r"(?s)^[A-Z]+:(.*?)\r?$", 1).alias("v"))
     rows = rows.where(F.col("tag").isin("DA", "BRDA", "FN", "FNDA", "FNA"))
     lost = F.raise_error(F.concat(F.col("source"), F.lit(": a record outside SF: "), F.col("raw")))
-    folder = F.regexp_replace("source", "/[^/]*$", "") if base is None else base
-    rows = rows.select("raw", "tag", F.split("v", ",").alias("f"), "v", _resolved(F.coalesce(F.col("sf"), lost), folder).alias("path"))
+    rows = rows.select("raw", "tag", F.split("v", ",").alias("f"), "v", F.coalesce(F.col("path"), lost).alias("path"))
     f = lambda i: F.get(F.col("f"), F.lit(i))
     raw, line = F.col("raw"), F.when(F.col("tag").isin("DA", "BRDA"), _number(f(0), 1, F.col("raw")))
     short = F.raise_error(F.concat(F.lit("too few fields: "), raw))
