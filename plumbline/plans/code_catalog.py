@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import measures, paths
+from ..functions import measures, paths, tables
 from ..operators import graph, lines
 from ..sources import coverage_files, files, units
 from . import report
+from .catalog import _sources
 from .engine import Given, Options, Project, declarations, measured
 from .registry import query
 from .registry import table as _t
@@ -564,3 +565,29 @@ def isolated_fan(spark, d):
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     e = graph.distinct_edges(_t(spark, d, "lineitem").select(name("s", "l_suppkey").alias("src"), name("p", "l_partkey").alias("dst")))
     return graph.fan(e, _t(spark, d, "customer").select(name("c", "c_custkey").alias("node")))
+
+
+# Table functions
+
+
+@query(
+    """WITH k AS (SELECT p_partkey, list_concat(['comment', 'blank', 'code', 'code', 'code', 'comment', 'comment', 'code'], list_transform(range(0, p_size % 4), lambda i: 'comment'), CASE WHEN p_size % 2 = 0 THEN ['blank'] ELSE ['code', 'blank', 'code'] END) AS ks FROM part)
+    SELECT p_partkey, unnest(range(1, len(ks) + 1))::int AS line, unnest(ks) AS kind FROM k"""
+)
+def lines_by_sql(spark, d):
+    """A source's lines by a table function in SQL."""
+    tables.register(spark)
+    _sources(spark, d).createOrReplaceTempView("plumbline_sources")
+    return spark.sql("SELECT s.p_partkey, t.line, t.kind FROM plumbline_sources s, LATERAL classify_lines(s.content) t")
+
+
+@query(
+    """SELECT p_partkey, unnest([{'place': 0, 'kind': 'keyword', 'spelling': 'return'}, {'place': 1, 'kind': 'identifier', 'spelling': 'v' || p_partkey}, {'place': 2, 'kind': 'punctuation', 'spelling': '<=>'}, {'place': 3, 'kind': 'literal', 'spelling': p_size || '''000u'},
+    {'place': 4, 'kind': 'punctuation', 'spelling': ';'}, {'place': 5, 'kind': 'comment', 'spelling': '// é'}, {'place': 6, 'kind': 'literal', 'spelling': 'u8R"x(a;b)x"'}], recursive := true) FROM part"""
+)
+def tokens_by_sql(spark, d):
+    """A source's tokens by a table function in SQL."""
+    tables.register(spark)
+    text = _text('return v{%s}<=>{string(p_size)}\'000u; // é\nu8R"x(a;b)x"' % K)
+    _t(spark, d, "part").select("p_partkey", text.alias("content")).createOrReplaceTempView("plumbline_texts")
+    return spark.sql("SELECT s.p_partkey, t.place, t.kind, t.spelling FROM plumbline_texts s, LATERAL source_tokens(s.content) t")
