@@ -243,39 +243,18 @@ def coupling_matrix(spark, d):
     return graph.matrix(graph.coupling(graph.with_groups(_edges(spark, d), _groups(spark, d))), list(_NAMES))
 
 
-def _follows(spark, d) -> DataFrame:
-    """A sparse graph: a user -> the next user of the same event type, where the later event's value is over 200."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    e = _t(spark, d, "events").select(F.lag("user_id").over(w).alias("src"), F.col("user_id").alias("dst"), "value")
-    return graph.distinct_edges(e.where("src is not null and value > 200"))
-
-
-_FOLLOWS_SQL = "SELECT DISTINCT src, user_id AS dst FROM (SELECT lag(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS src, user_id, value FROM events) WHERE src IS NOT NULL AND value > 200"
-
-
-@query(
-    f"""WITH RECURSIVE e AS ({_FOLLOWS_SQL}), r(a, b) AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src),
-    m AS (SELECT x.a AS node, least(x.a, min(x.b)) AS low FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a)
-    SELECT node, dense_rank() OVER (ORDER BY low)::int AS cycle FROM m"""
-)
-def scc_cycles(spark, d):
-    return graph.number_cycles(graph.strong_components(_follows(spark, d)))
-
-
 _REACH_SQL = """WITH RECURSIVE e AS ({}), r(a, b) AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src),
     m AS (SELECT x.a AS node, least(x.a, min(x.b)) AS low FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a)"""
-_ALL_FOLLOWS_SQL = "SELECT DISTINCT src, user_id AS dst FROM (SELECT lag(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS src, user_id FROM events) WHERE src IS NOT NULL"
+_NEXT_SQL = "SELECT DISTINCT src, l_suppkey AS dst FROM (SELECT lag(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS src, l_suppkey FROM lineitem) WHERE src IS NOT NULL"
 
 
-@query(f"{_REACH_SQL.format(_ALL_FOLLOWS_SQL)} SELECT node, dense_rank() OVER (ORDER BY low)::int AS cycle FROM m")
-def scc_all_follows(spark, d):
-    """All transitions of events, whatever their value."""
+@query(f"{_REACH_SQL.format(_NEXT_SQL)} SELECT node, dense_rank() OVER (ORDER BY low)::int AS cycle FROM m")
+def scc_cycles(spark, d):
+    """A dense graph: the supplier of a line -> the supplier of the next line of its order."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    e = _t(spark, d, "events").select(F.lag("user_id").over(w).alias("src"), F.col("user_id").alias("dst"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey")
+    e = _t(spark, d, "lineitem").select(F.lag("l_suppkey").over(w).alias("src"), F.col("l_suppkey").alias("dst"))
     return graph.number_cycles(graph.strong_components(graph.distinct_edges(e.where("src is not null"))))
 
 
