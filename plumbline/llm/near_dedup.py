@@ -9,6 +9,9 @@
    neighbours), and the two of each bucket of two with each other. In the second wave the larger buckets that still
    hold different components are compared, in blocks of bounded size; pairs inside one component are skipped and a
    bucket's largest component isn't compared with itself, so a group of copies isn't expanded into all its pairs.
+   Where blocks would cost a bucket more copies of its rows than it has bands (members that share a passage, say), it is
+   parted by BANDS bands of the signature's other half; a pair that meets in such a bucket only is missed with a
+   probability of 3e-6 more. Parts are compared in blocks too, whatever their size.
 4. Comparing is sequential: signatures are compared in batches, and a pair is dropped as soon as the posterior
    probability (uniform prior) that its similarity reaches the threshold falls below MISS.
 5. Survivors are verified on the full sets. Components of the verified links are the groups.
@@ -42,6 +45,8 @@ BANDS, ROWS, SIGNATURE = 42, 6, 504
 BATCH, MISS = 36, 5e-7
 #: Members of a bucket that one task compares with as many others at once.
 BLOCK = 512
+#: Members of a bucket beside its largest component from which it is parted by the bands of the other half.
+WIDE = BANDS * BLOCK
 WORDS_KNOWN = 300_000
 
 
@@ -192,34 +197,59 @@ def _compare_pivots(pairs: DataFrame, classes: DataFrame, threshold: float) -> D
     return both.select("u", "v", "su", "sv").mapInArrow(run, "u bigint, v bigint")
 
 
+def _mixed(at: DataFrame) -> DataFrame:
+    """Of the buckets that hold several components: band_key, largest (component), n (its members), total."""
+    sizes = at.groupBy("band_key", "component").agg(F.count(F.lit(1)).alias("n"))
+    top = sizes.groupBy("band_key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total")).where("top.n < total")
+    return top.select("band_key", F.col("top.component").alias("largest"), F.col("top.n").alias("n"), "total")
+
+
+def _parts(at: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of buckets, in each of the parts that the bands of the signature's other half make of a bucket."""
+    second = f"substring(sig, {BANDS * ROWS} + b * {ROWS} + 1, {ROWS})"
+    keys = F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(band_key, b, {second}))")).alias("part", "part_key")
+    parts = at.join(classes.select("node", "sig"), "node").select("node", "band", "component", keys)
+    return parts.select("node", "band", "part", F.col("part_key").alias("band_key"), "component")
+
+
 def _compare_buckets(shared: DataFrame, classes: DataFrame, labels: DataFrame, hot: DataFrame, threshold: float) -> DataFrame:
     """u, v: surviving pairs of different components that share a bucket; each pair is tested in its first bucket only.
 
     A bucket's largest component needs no comparing within itself. The other members, the rest, are cut into blocks
     0..r-1 and the largest component into blocks from r on; a task compares one block of the rest with another block,
     so a bucket of one large group and few others costs a copy or two of each row. A bucket of up to BLOCK members is
-    one block.
+    one block. One of more than WIDE others is parted first (see _parts).
     """
-    at = shared.where("members > 2").join(labels, "node", "left").select("node", "band", "band_key", F.coalesce("component", "node").alias("component"))
-    sizes = at.groupBy("band_key", "component").agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.groupBy("band_key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total")).where("top.n < total")
+    at = shared.where("members > 2").join(labels, "node", "left").select("node", "band", F.lit(-1).alias("part"), "band_key", F.coalesce("component", "node").alias("component"))
+    top = written(_mixed(at), "mixed")
+    is_wide = F.col("total") - F.col("n") > WIDE
+    if top.where(is_wide).isEmpty():
+        return _compare_blocks(at, top, classes, hot, threshold)
+    wide = top.where(is_wide).select("band_key")
+    parts = written(_parts(dealt_join(at, wide, "band_key", "node", hot), classes), "parts")
+    one = _compare_blocks(at, top.where(~is_wide), classes, hot, threshold)
+    return one.union(_compare_blocks(parts, written(_mixed(parts), "mixed"), classes, hot_keys(parts, "band_key"), threshold)).distinct()
+
+
+def _compare_blocks(at: DataFrame, top: DataFrame, classes: DataFrame, hot: DataFrame, threshold: float) -> DataFrame:
+    """_compare_buckets for the buckets of top, or parts of buckets (part is -1 for a whole bucket)."""
     blocks = lambda rows: F.ceil(rows / F.lit(BLOCK)).cast("int")
     small = F.col("total") <= BLOCK  # one block of all members: two tasks would cost more than they spare
-    r, g = F.when(small, 1).otherwise(blocks(F.col("total") - F.col("top.n"))), F.when(small, 0).otherwise(blocks(F.col("top.n")))
-    top = top.select("band_key", F.col("top.component").alias("largest"), r.alias("r"), g.alias("g"))
+    r, g = F.when(small, 1).otherwise(blocks(F.col("total") - F.col("n"))), F.when(small, 0).otherwise(blocks(F.col("n")))
+    top = top.select("band_key", "largest", r.alias("r"), g.alias("g"))
     at = dealt_join(at, top, "band_key", "node", hot).join(classes.select("node", "sig", "n"), "node")
     rest, h = (F.col("component") != F.col("largest")) | (F.col("g") == 0), F.xxhash64("node")
     at = at.withColumn("own", F.when(rest, F.pmod(h, F.col("r"))).otherwise(F.col("r") + F.pmod(h, F.col("g"))).cast("int"))
     at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(rest, F.col("r") + F.col("g")).otherwise(F.col("r")) - 1)))
-    at = at.select("node", "component", "band", "band_key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "sig", "n")
+    at = at.select("node", "component", "band", "part", "band_key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "sig", "n")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         node, comp, n = (pdf[c].to_numpy() for c in ("node", "component", "n"))
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(-1, SIGNATURE)
-        band, one = int(pdf["band"].iloc[0]), pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
-        codes = np.zeros((len(sig), BANDS, 8), np.uint8)
-        codes[:, :, :ROWS] = sig[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
-        codes = codes.view(np.uint64)[:, :band, 0]
+        band, part, one = int(pdf["band"].iloc[0]), int(pdf["part"].iloc[0]), pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
+        codes = np.zeros((2, len(sig), BANDS, 8), np.uint8)
+        codes[:, :, :, :ROWS] = sig.reshape(-1, 2, BANDS, ROWS).swapaxes(0, 1)
+        bands, others = codes.view(np.uint64)[..., 0]
         first = pdf["own"].to_numpy() == pdf["lo"].iloc[0]
         us, vs = [], []
         for i in range(len(node)):
@@ -228,8 +258,15 @@ def _compare_buckets(shared: DataFrame, classes: DataFrame, labels: DataFrame, h
             ok = (comp != comp[i]) & (np.minimum(n, n[i]) >= np.maximum(n, n[i]) * (threshold - 1e-9))
             ok &= node > node[i] if one else ~first
             j = np.flatnonzero(ok)
+            # a pair that shares an earlier band was tested there for certain if it shares one of the other half too, in
+            # which a wide bucket is parted; within a part it does
             if len(j) and band:
-                j = j[~(codes[j] == codes[i]).any(axis=1)]
+                met = (bands[j, :band] == bands[i, :band]).any(axis=1)
+                if part < 0:
+                    met[met] = (others[j[met]] == others[i]).any(axis=1)
+                j = j[~met]
+            if len(j) and part > 0:
+                j = j[~(others[j, :part] == others[i, :part]).any(axis=1)]
             if len(j):
                 j = j[surviving(sig, sig, np.full(len(j), i), j, threshold)]
                 us.append(np.full(len(j), node[i]))

@@ -565,15 +565,18 @@ def test_near_duplicates_equal_brute_force(spark, documents):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
-@pytest.mark.parametrize(("hot", "block"), [(common.HOT, near_dedup.BLOCK), (5, 8)])
-def test_pairs_beside_a_large_group(spark, monkeypatch, hot, block):
+@pytest.mark.parametrize(("hot", "block", "wide"), [(common.HOT, near_dedup.BLOCK, near_dedup.WIDE), (5, 8, near_dedup.WIDE), (5, 8, 3)])
+def test_pairs_beside_a_large_group(spark, monkeypatch, hot, block, wide):
     """Each pair shares bands with a large group that it isn't linked with: the group's pivot must not hide the pair.
 
-    With small bounds, buckets and pivots are dealt over tasks and cut into many blocks.
+    With small bounds, buckets and pivots are dealt over tasks and cut into many blocks, and wide buckets are parted.
     """
     for module in (common, near_dedup):
         monkeypatch.setattr(module, "HOT", hot)
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "WIDE", wide)
+    parted, parts_of = [], near_dedup._parts
+    monkeypatch.setattr(near_dedup, "_parts", lambda *a: parted.append(1) or parts_of(*a))
     rng = np.random.default_rng(5)
     texts = edited_group(50, 80)
     base = texts[0].split()
@@ -585,6 +588,26 @@ def test_pairs_beside_a_large_group(spark, monkeypatch, hot, block):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     rows = near_dedup.near_duplicates(df, width=4).collect()
     assert {r.doc_id: r.component_id for r in rows} == brute_components(sets_of(list(enumerate(texts)), 4))
+    assert bool(parted) == (wide == 3)
+
+
+def test_near_duplicates_of_a_shared_passage(spark, monkeypatch):
+    """Documents that share half of their words but aren't linked fill wide buckets; the near pairs among them are found."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "WIDE", 60)
+    sizes, parts_of = [], near_dedup._parts
+    monkeypatch.setattr(near_dedup, "_parts", lambda at, classes: sizes.append(at.count()) or parts_of(at, classes))
+    passage, texts = [f"shared{i}" for i in range(90)], []
+    for k in range(300):
+        own = [f"own{k}x{i}" for i in range(60)]
+        texts.append(" ".join([*passage, *own]))
+        if k % 3 == 0:
+            texts.append(" ".join([*passage, *own[:-3], "edited"]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = near_dedup.near_duplicates(df, width=4).collect()
+    want = brute_components(sets_of(list(enumerate(texts)), 4))
+    assert {r.doc_id: r.component_id for r in rows} == want and len(set(want.values())) == 300
+    assert sizes and sizes[0] > 60
 
 
 def test_near_duplicates_odd(spark, odd, empty):
