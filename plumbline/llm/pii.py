@@ -136,7 +136,7 @@ def oracle_sql() -> str:
         "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
         "card": r"[0-9](?:[\x20-]?[0-9])+",
         "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-        "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
+        "iban": r"\b[A-Z]{2}[0-9]{2}",  # the starts; see iban_r and what follows for the ends
         "ssn": r"[0-9-]+",  # whole runs of digits and hyphens: those of the right form have neither beside them
         "hexkey": r"\b(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})\b",
         "apikey": r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{24}|xox[abp]-[A-Za-z0-9-]{20,})\b",
@@ -160,13 +160,21 @@ def oracle_sql() -> str:
     for i, k in enumerate(KINDS):
         score, words = SCORES[k]
         low = f"greatest(s - {CONTEXT}, pe)"
-        near = f"substr(t, {low} + 1, s - {low}) || ' ' || substr(t, s + length(m) + 1, least({CONTEXT}, ns - s - length(m)))"
+        near = f"substr(t, {low} + 1, s - {low}) || ' ' || substr(t, s + length(m) + 1, greatest(0, least({CONTEXT}, ns - s - length(m))))"
         scored = f"round({score} + CASE WHEN regexp_matches(lower({near}), '{words}') THEN {RAISE} ELSE 0 END, 2)"
         ctes.append(f"{k}_0 AS (SELECT n, t, regexp_extract_all(t, '{plain[k]}') AS ms, regexp_split_to_array(t, '{plain[k]}') AS gs FROM d)")
         ctes.append(
             f"{k}_1 AS (SELECT n, t, unnest(ms) AS m, unnest(list_transform(range(1, len(ms) + 1), lambda j: list_sum(list_transform(gs[1:j], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:j-1], lambda q: length(q))), 0)))::bigint AS s FROM {k}_0 WHERE len(ms) > 0)"
         )
-        ctes.append(f"{k}_2 AS (SELECT *, coalesce(lag(s + length(m)) OVER (PARTITION BY n ORDER BY s), 0) AS pe, coalesce(lead(s) OVER (PARTITION BY n ORDER BY s), length(t)) AS ns FROM {k}_1 {form.get(k, '')})")
+        if k == "iban":
+            ctes.append(r"iban_r AS (SELECT *, m || regexp_extract(substr(t, s + 5, 61), '^(?:\x20?[A-Z0-9]){11,30}\b') AS run FROM iban_1)")
+            ctes.append("iban_s AS (SELECT n, t, s, string_split(run, ' ') AS ps, coalesce(lag(s + 4) OVER w, 0) AS pe, coalesce(lead(s) OVER w, length(t)) AS ns FROM iban_r WHERE length(run) > 4 WINDOW w AS (PARTITION BY n ORDER BY s))")
+            ctes.append("iban_c AS (SELECT n, t, s, pe, ns, unnest(list_transform(range(1, len(ps) + 1), lambda i: array_to_string(ps[1:i], ' '))) AS m FROM iban_s)")
+            ctes.append(f"iban_v AS (SELECT n, s, any_value(t) AS t, any_value(pe) AS pe, any_value(ns) AS ns, arg_max(m, length(m)) AS m FROM iban_c WHERE {valid[k]} GROUP BY n, s)")
+            ctes.append("iban_f AS (SELECT *, max(s + length(m)) OVER (PARTITION BY n ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM iban_v)")
+            ctes.append("iban_2 AS (SELECT * FROM iban_f WHERE coalesce(far, 0) <= s)")
+        else:
+            ctes.append(f"{k}_2 AS (SELECT *, coalesce(lag(s + length(m)) OVER (PARTITION BY n ORDER BY s), 0) AS pe, coalesce(lead(s) OVER (PARTITION BY n ORDER BY s), length(t)) AS ns FROM {k}_1 {form.get(k, '')})")
         ctes.append(f"{k}_3 AS (SELECT n, '{k}' AS kind, {i} AS o, s, s + length(m) AS e, {scored}::double AS score FROM {k}_2 WHERE {valid[k]}{'' if k in BASE else f' AND {scored} >= {ACCEPT}'})")
         lists.append(f"SELECT * FROM {k}_3")
     listed = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s)"

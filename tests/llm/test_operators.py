@@ -120,10 +120,13 @@ def test_pii_checksums_and_context(spark, odd, empty):
     assert pii.pii_report(odd).count() == len(ODD) and pii.pii_report(empty).count() == 0
 
 
+ONE, TWO = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+IBANS = [f"IBAN {ONE} BIC COBADEFFXXX", f"{TWO} EUR 50", f"{TWO} 2024 paid", f"AB12 {TWO} EUR", f"𝒳 {ONE} {TWO} BIC", f"{ONE}X {ONE[:-1]}1 EUR 50"]
+
+
 def test_iban_before_capitals_and_digits(spark):
     """A word of capitals or digits behind an IBAN, or a false start before it, doesn't hide it."""
-    one, two = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
-    texts = [f"IBAN {one} BIC COBADEFFXXX", f"{two} EUR 50", f"{two} 2024 paid", f"AB12 {two} EUR", f"𝒳 {one} {two} BIC", f"{one}X {one[:-1]}1 EUR 50"]
+    one, two, texts = ONE, TWO, IBANS
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "iban"] for r in pii.find_pii(df).collect()}
     assert got == {0: [one], 1: [two], 2: [two], 3: [two], 4: [one, two], 5: []}
@@ -132,6 +135,7 @@ def test_iban_before_capitals_and_digits(spark):
 def test_pii_sql_finds_the_same(spark):
     duckdb = pytest.importorskip("duckdb")
     added = ["IBAN DE89 3704 0044 0532 0130 00 ok", "DE89370400440532013001 GB82WEST12345698765432.", "ssn 123-45-6789 and 987-65-4321, 000-12-3456", "part 123-45-6789", "SSN 123-45-6789-1 social 1123-45-6789 123-45-6789", "x_GB82WEST12345698765432 éGB82WEST12345698765432é", "the key 00ff00ff00ff00ff00ff00ff00ff00ff, ABCDEF0123456789ABCDEF0123456789 auth", "123-45-6789 social"]
+    added += [*IBANS, f"{TWO} GB82 WEST 1234 5698 7654 32 bank", f"the account {ONE} {ONE} konto", f"{TWO} XY" + " A1B2" * 20]
     docs = list(enumerate([*TRICKY, *added, None, ""]))
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     rows = pii.pii_report(df)
@@ -139,7 +143,7 @@ def test_pii_sql_finds_the_same(spark):
     con.register("documents", df.toPandas())
     want = con.execute(pii.oracle_sql()).df()[rows.columns].sort_values("doc_id").values.tolist()
     assert [list(r) for r in rows.orderBy("doc_id").collect()] == want
-    assert sum(r[5] for r in want) == 3 and sum(r[6] for r in want) == 3 and sum(r[7] for r in want) == 2
+    assert sum(r[5] for r in want) == 14 and sum(r[6] for r in want) == 3 and sum(r[7] for r in want) == 2
 
 
 # decontamination
