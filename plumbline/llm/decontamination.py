@@ -2,6 +2,8 @@
 
 Items are partitioned by the number n of their distinct shingles into [2^p, 2^(p+1)). In each partition an item's
 sketch is its k smallest shingle hashes (a bottom-k MinHash sketch), with k = floor((1 - t) * (2^(p+1) - 1)) + 1.
+Hashes of more than HOT items (a phrase with which a third of them begin, say) come behind all others in that order, as
+any order of hashes will do; items of equal shingles are searched for once.
 A document that holds at least t * n of an item's shingles lacks at most (1 - t) * n < k of them, so it holds one of
 the sketch at least: candidates lose nothing, however long the document is. A candidate is then checked by exact
 containment of the shingle strings.
@@ -9,7 +11,8 @@ containment of the shingle strings.
 Words are runs of letters and digits, lower-cased. An item of fewer than `width` words is one shingle of all its words.
 
 Defined cases: items without a word are never found; null or empty documents are clean; equal rows get equal results;
-rows without a doc_id are judged by their own text; ids of either table may be of any type; extra columns stay untouched.
+rows without a doc_id are judged by their own text; an item without an id, or of one that repeats, counts by its own
+text; ids of either table may be of any type; empty tables give no rows; extra columns stay untouched.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, bounded_broadcast, bytes_of, dealt_join, fresh, hot_keys, written
+from .common import BROADCAST_BYTES, HOT, bounded_broadcast, bytes_of, dealt_join, fresh, hot_keys, written
 
 WIDTH, THRESHOLD = 5, 0.8
 
@@ -48,7 +51,7 @@ def _text_grams(words_: Column, width: int) -> Column:
 
 
 def _items(benchmark: DataFrame, item_id: str, text: str, width: int, t: float) -> DataFrame:
-    """item_id, w (words of a shingle), n, shingles (distinct), sketch (hashes)."""
+    """item_id, w (words of a shingle), n, shingles (distinct), hashes, k (of them in the sketch), set_key (of the shingles)."""
     b = benchmark.select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("ws")).where("size(ws) > 0")
     b = b.select("item_id", F.least(F.size("ws"), F.lit(width)).alias("w"), "ws", F.transform("ws", lambda x: F.xxhash64(x)).alias("hs"))
     texts, hashes = F.lit(None).cast("array<string>"), F.lit(None).cast("array<bigint>")
@@ -58,18 +61,31 @@ def _items(benchmark: DataFrame, item_id: str, text: str, width: int, t: float)
     b = b.select("item_id", "w", F.array_distinct(texts).alias("shingles"), F.array_distinct(hashes).alias("hashes")).withColumn("n", F.size("shingles"))
     part = F.floor(F.log2(F.col("n").cast("double")) + 1e-9)
     k = F.floor((1 - t + 1e-9) * (F.pow(F.lit(2.0), part + 1) - 1)).cast("int") + 1
-    return b.select("item_id", "w", "n", "shingles", part.alias("part"), F.slice(F.array_sort("hashes"), F.lit(1), k).alias("sketch"))
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each document row's (id, text hash) and item of which it holds enough: id, text_hash, item_id, shared, n_shingles."""
-    items = written(_items(benchmark, item_id, item_text, width, threshold), "items")
-    widths = sorted(r[0] for r in items.select("w").distinct().collect())  # at most `width` numbers
+    return b.select("item_id", "w", "n", "shingles", "hashes", k.alias("k"), F.sha2(F.array_join(F.array_sort("shingles"), "\n"), 256).alias("set_key"))
+
+
+def _sketches(classes: DataFrame) -> DataFrame:
+    """class, h: the sketch of each class of items. classes is written."""
+    each = classes.select("class", F.explode("hashes").alias("h"))
+    common = written(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("h"), "common")
+    order = F.array_sort("hashes")
+    if not common.isEmpty():
+        late = each.join(bounded_broadcast(common), "h").groupBy("class").agg(F.collect_set("h").alias("late"))  # of one item
+        classes = classes.join(late, "class", "left")
+        last = F.coalesce("late", F.array().cast("array<bigint>"))
+        order = F.concat(F.array_sort(F.array_except("hashes", last)), F.array_sort(last))
+    return classes.select("class", F.explode(F.slice(order, F.lit(1), F.col("k"))).alias("h"))
+
+
+def _held(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """id, text_hash, class, shared, n_shingles of the documents and the classes of which they hold enough; and the classes."""
+    one = items.groupBy("set_key").agg(F.first(F.struct("w", "n", "shingles", "hashes", "k")).alias("c"))
+    classes = written(one.select("set_key", "c.*").withColumn("class", F.monotonically_increasing_id()), "classes")
+    widths = sorted(r[0] for r in classes.select("w").distinct().collect())  # at most as many as a shingle has words
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     if not widths:
-        return d.select("id", "text_hash", F.lit(None).cast(benchmark.schema[item_id].dataType).alias("item_id"), F.lit(0).alias("shared"), F.lit(0).alias("n_shingles")).limit(0)
-    sketch = items.select("item_id", F.explode("sketch").alias("h"))
-    sketch = written(sketch.groupBy("h").agg(F.collect_set("item_id").alias("items")), "sketch")
+        return d.select("id", "text_hash", F.lit(0).cast("bigint").alias("class"), F.lit(0).alias("shared"), F.lit(0).alias("n_shingles")).limit(0), classes
+    sketch = written(_sketches(classes), "sketch")
     hashed = d.select("id", "text_hash", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("hs"))
     # the shingles of every width in one reading; those of another width than an item's are told apart by the check below
     grams = hashed.select("id", "text_hash", F.explode(F.concat(*[_hash_grams(F.col("hs"), w) for w in widths])).alias("h"))
@@ -77,21 +93,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         hits = grams.join(F.broadcast(sketch), "h")
     else:  # a shingle that very many documents have is dealt over tasks
         hits = dealt_join(grams, sketch, "h", "text_hash", hot_keys(grams, "h"))
-    candidates = written(hits.select("id", "text_hash", F.explode("items").alias("item_id")).distinct(), "candidates")
-    c = candidates.select(F.col("id").alias("c_id"), F.col("text_hash").alias("c_hash"), "item_id")
+    candidates = written(hits.select("id", "text_hash", "class").distinct(), "candidates")
+    c = candidates.select(F.col("id").alias("c_id"), F.col("text_hash").alias("c_hash"), "class")
     pairs = d.join(bounded_broadcast(c), (d.text_hash == F.col("c_hash")) & d.id.eqNullSafe(F.col("c_id")))
-    pairs = pairs.join(bounded_broadcast(items.drop("sketch", "part")), "item_id")
+    pairs = pairs.join(bounded_broadcast(classes.drop("hashes", "k", "set_key")), "class")
     held = F.lit(None).cast("array<string>")
     for w in widths:
         held = F.when(F.col("w") == w, _text_grams(words(F.col("text")), w)).otherwise(held)
-    pairs = pairs.select("id", "text_hash", "item_id", F.size(F.array_intersect("shingles", held)).alias("shared"), F.col("n").alias("n_shingles"))
+    pairs = pairs.select("id", "text_hash", "class", F.size(F.array_intersect("shingles", held)).alias("shared"), F.col("n").alias("n_shingles"))
     least = math.ceil(threshold * 1000)
-    return pairs.where(F.col("shared") * 1000 >= F.col("n_shingles") * least).distinct()
+    return pairs.where(F.col("shared") * 1000 >= F.col("n_shingles") * least).distinct(), classes
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each document row's (id, text hash) and item of which it holds enough: id, text_hash, item_id, shared, n_shingles."""
+    items = written(_items(benchmark, item_id, item_text, width, threshold), "items")
+    found, classes = _held(docs, items, id_col, text_col, threshold)
+    members = written(items.select("item_id", "set_key").distinct().join(classes.select("set_key", "class"), "set_key").select("class", "item_id"), "members")
+    return found.join(bounded_broadcast(members), "class").select("id", "text_hash", "item_id", "shared", "n_shingles").distinct()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD
+) -> DataFrame:
     """docs without the rows that hold a benchmark item; columns and other rows as they were."""
-    bad = written(contamination(docs, benchmark, id_col, text_col, **options).select(F.col("id"), F.col("text_hash")).distinct(), "contaminated")
+    items = _items(benchmark, item_id, item_text, width, threshold)
+    bad = written(_held(docs, items, id_col, text_col, threshold)[0].select("id", "text_hash").distinct(), "contaminated")
     a, b = fresh(docs, "bad_id"), fresh(docs, "bad_hash")
     bad = bounded_broadcast(bad.toDF(a, b))
     return docs.join(bad, (F.xxhash64(docs[text_col]) == bad[b]) & docs[id_col].eqNullSafe(bad[a]), "left_anti")

@@ -168,6 +168,25 @@ def contaminated(docs, items):
     return out
 
 
+def test_decontamination_of_alike_items(spark, monkeypatch):
+    """Many equal items are searched for once and reported each; a phrase that most items share stays out of sketches."""
+    monkeypatch.setattr(decontamination, "HOT", 10)
+    rng = np.random.default_rng(8)
+    phrase = "which of the following words is the one that".split()
+    own = [[f"q{k}w{i}" for i in range(int(rng.integers(4, 30)))] for k in range(60)]
+    items = [(k, " ".join([*phrase, *o])) for k, o in enumerate(own)] + [(100 + i, "one and the same item of a benchmark") for i in range(40)]
+    docs = [(k, " ".join(["before", *phrase, *own[k], "after"])) for k in range(0, 60, 2)] + [(200, " ".join(phrase * 5)), (201, "so one and the same item of a benchmark is here"), (202, "clean"), (None, items[1][1])]
+    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([*items, (None, "an item that has no id of its own")], "item_id bigint, text string")
+    want = contaminated(docs, items)
+    assert {(r.id, r.item_id) for r in decontamination.contamination(df, bench).collect()} == want and sum(i == 201 for i, _ in want) == 40
+    lost = {i for i, _ in want}
+    assert sorted(str(r.doc_id) for r in decontamination.decontaminate(df, bench).collect()) == sorted(str(i) for i, _ in docs if i not in lost)
+    sketches = decontamination._sketches(common.written(decontamination._items(bench, "item_id", "text", 5, 0.8).withColumn("class", F.col("item_id")), "t")).where("class < 60")
+    assert sketches.groupBy("h").count().agg(F.max("count")).first()[0] <= 10
+    with_id_less = spark.createDataFrame([(1, "Here is an item that has no id of its own."), (2, "x")], "doc_id bigint, text string")
+    assert [(r.id, r.item_id) for r in decontamination.contamination(with_id_less, bench).collect()] == [(1, None)]
+
+
 def test_decontamination_equals_brute_force(spark, sf, documents):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     base = [r.text for r in bench.orderBy("item_id").limit(5).collect()]
