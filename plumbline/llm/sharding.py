@@ -105,7 +105,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_
     """
     i, k, n = (fresh(docs, x) for x in ("place_id", "place_key", "place_copies"))
     one = collapsed(docs, row_key(docs), k, n)
-    at = one.select(F.col(f"`{id_col}`").alias("i"), F.col(k).alias("k"), F.col(n).alias("n"))
+    at = docs.select(F.col(f"`{id_col}`").alias("i"), row_key(docs).alias("k")).groupBy("i", "k").agg(F.count(F.lit(1)).alias("n"))  # no texts
     places = written(_places(at, shards, seed).select(F.col("k").alias(k), F.col("shard").alias("s"), F.col("slot").alias("t")), "places")
     names = {"shard": fresh(docs, "shard"), "slot": fresh(docs, "slot")}
     rows = one.drop(n).withColumnRenamed(k, i)
