@@ -11,12 +11,16 @@ def with_gap(spans: DataFrame, marks: DataFrame, keys: list[str], begin: str, en
 
     Repeated spans stay, each with its flag; one without a begin or an end is free.
     """
-    cols = spans.columns
-    s = spans.select(*keys, F.col(end).alias("_at"), F.struct(*cols).alias("_span"))
+    s = spans.select(*keys, F.col(end).alias("_at"), F.struct(*spans.columns).alias("_span"))
     m = marks.select(*keys, F.col(at).alias("_at"), F.lit(None).cast(s.schema["_span"].dataType).alias("_span"))
+    return flagged_gaps(s.unionByName(m), keys, begin)
+
+
+def flagged_gaps(rows: DataFrame, keys: list[str], begin: str) -> DataFrame:
+    """with_gap of spans and marks in one table: keys, _at (a span's end or a mark's place), _span (null: a mark)."""
     before = Window.partitionBy(*keys).orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
     last = F.max(F.when(F.col("_span").isNull(), F.col("_at"))).over(before)
-    out = s.unionByName(m).withColumn("_last", last).where(F.col("_span").isNotNull())
+    out = rows.withColumn("_last", last).where(F.col("_span").isNotNull())
     return out.select("_span.*", F.coalesce(F.col("_last") <= F.col(f"_span.{begin}"), F.lit(True)).alias("gap_free"))
 
 

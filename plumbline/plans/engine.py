@@ -42,10 +42,16 @@ def measured(functions: DataFrame) -> DataFrame:
 
 def declarations(facts: DataFrame) -> DataFrame:
     """Each public declaration once, as its first unit declares it, with its documentation's style."""
-    a = facts.select("unit_ord", F.explode("api").alias("a")).select("unit_ord", "a.*")
-    a = dedupe.first_wins(a, ["file", "line", "column"], ["unit_ord", "seq"])
-    marks = facts.select(F.explode("marks").alias("m")).select("m.file", F.explode("m.name_at").alias("name_at")).distinct()
-    return api_ops.attach(a, marks, ["file"])
+    # declarations and names leave the facts in one pass: they may be a parse that isn't kept
+    columns = facts.schema["api"].dataType.elementType.names
+    whole = lambda a: F.struct(F.col("unit_ord"), *[a[c] for c in columns])
+    row = lambda file, line, column, at, a: F.struct(file.alias("file"), line.alias("line"), column.alias("column"), at.alias("name_at"), a.alias("declaration"))
+    declared = F.transform("api", lambda a: row(a["file"], a["line"], a["column"], F.lit(None).cast("bigint"), whole(a)))
+    none = F.lit(None).cast("int")
+    no_declaration = F.when(F.lit(False), whole(F.get("api", F.lit(0))))
+    named = F.flatten(F.transform("marks", lambda m: F.transform(m["name_at"], lambda at: row(m["file"], none, none, at, no_declaration))))
+    rows = facts.select(F.explode(F.concat(declared, named)).alias("r")).select("r.*")
+    return api_ops.attach_first(rows, ["file"], ["line", "column"], ["unit_ord", "seq"])
 
 
 @dataclass(frozen=True)

@@ -6,9 +6,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import paths
 from .cfront.command import command, flags, language, predefined
@@ -21,6 +23,8 @@ FACTS = (
     f" api array<struct<{_AT}, scope string, at bigint, begin bigint, comment string, comment_end bigint, trailing boolean>>, marks array<struct<file string, name_at array<bigint>>>,"
     " includes array<struct<src string, dst string>>, errors array<string>"
 )
+#: Tokens, declarations and names that a batch of units' facts may hold before it is handed on.
+BATCH_FACTS = 20_000
 
 
 def accepting(root: str, build: str = "", exclude: tuple[str, ...] = ()) -> Callable[[str], bool]:
@@ -52,22 +56,29 @@ def stored(p: str) -> bytes | None:
 def parse(units: DataFrame, root: str, build: str = "", exclude: tuple[str, ...] = (), resource: str = "") -> DataFrame:
     """units: unit_ord, file, directory, command, arguments, and where sources don't stand in a file system a map `files`
     of path and text. One row of FACTS for each, parsed by itself."""
-    names = [x.name for x in T._parse_datatype_string(FACTS).fields]
+    schema = to_arrow_schema(T._parse_datatype_string(FACTS))
     columns = ["unit_ord", "file", "directory", "command", "arguments", *(["files"] if "files" in units.columns else [])]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         accept = accepting(root, build, exclude)
-        for pdf in batches:
-            for r in pdf.to_dict("records"):
-                args = r["arguments"]
+        for batch in batches:
+            rows, held = [], 0
+            for i in range(batch.num_rows):
+                r = {c: batch.column(c)[i].as_py() for c in columns}
                 given = dict(r["files"]) if r.get("files") is not None else None
                 read = stored if given is None else (lambda p, given=given: given[p].encode() if p in given else None)
-                found = facts(r["file"], r["directory"], command({"arguments": None if args is None else list(args), "command": r["command"]}), read, accept, resource)
-                yield pd.DataFrame([{"unit_ord": r["unit_ord"], "file": r["file"], **found}])[names]
+                found = facts(r["file"], r["directory"], command(r), read, accept, resource)
+                rows.append({"unit_ord": r["unit_ord"], "file": r["file"], **found})
+                held += 1 + len(found["api"]) + len(found["includes"]) + sum(len(f["tokens"]) for f in found["functions"]) + sum(len(m["name_at"]) for m in found["marks"])
+                if held >= BATCH_FACTS:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
     # a unit is a row: many small tasks, as one unit may be far longer than the others
     parallel = max(2, 3 * units.sparkSession.sparkContext.defaultParallelism)
-    return units.select(*columns).repartition(parallel, "unit_ord").mapInPandas(run, FACTS)
+    return units.select(*columns).repartition(parallel, "unit_ord").mapInArrow(run, FACTS)
 
 
 def split_commands(commands: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 
 from plumbline import cli
 from plumbline.plans.engine import declarations
+from plumbline.sources import units
 from plumbline.sources.cfront import preprocess
 from plumbline.sources.cfront.command import flags
 from plumbline.sources.cfront.lexer import lex, line_counts, line_kinds
@@ -206,6 +207,37 @@ def test_comments_of_declarations(spark):
     assert got == {"near_one(int)": "doxygen", "bare": "plain", "next_one": "none", "a": "plain", "b": "plain", "after": "none", "grouped()": "doxygen", "S": "none", "S::x": "doxygen", "S::y": "none"}
 
 
+def test_declarations_of_several_units(spark):
+    # the second unit's earlier names stand in gaps too; of one place the first unit's declaration counts
+    decl = lambda line, kind, seq, begin, comment, end: {"file": "/p/a.h", "line": line, "column": 1, "kind": kind, "name": f"{kind}{line}", "seq": seq, "scope": "", "at": begin, "begin": begin, "comment": comment, "comment_end": end, "trailing": False}
+    unit = lambda k, api, names: {"unit_ord": k, "file": f"/p/{k}.c", "functions": [], "api": api, "marks": [{"file": "/p/a.h", "name_at": n} for n in names], "includes": [], "errors": []}
+    one = unit(1, [decl(3, "late", 0, 30, "// x", 20), decl(5, "one", 1, 50, "/// y", 40)], [[30, 50], [30]])
+    zero = unit(0, [decl(3, "first", 1, 30, "// x", 20), decl(5, "again", 0, 50, None, None)], [[25, 30]])
+    df = spark.createDataFrame([one, zero, unit(2, [], []), unit(3, [decl(5, "later", 0, 50, "/// y", 40)], [])], FACTS)
+    got = declarations(df)
+    assert sorted((r["unit_ord"], r["name"], r["style"]) for r in got.collect()) == [(0, "again5", "none"), (0, "first3", "none")]
+    assert got.columns[:3] == ["unit_ord", "file", "line"]
+
+
+def test_units_are_parsed_once_and_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(units, "BATCH_FACTS", 5)
+    text = lambda k: f"/// a\nint f{k}(int);\nstruct S{k} {{ int x; }}; // b\n"
+    rows = [(k, "/p/a.h", "/p", None if k % 2 else "c++ -DX", ["c++"] if k % 2 else None, {"/p/a.h": text(k)}) for k in range(50)]
+    df = spark.createDataFrame(rows, "unit_ord bigint, file string, directory string, command string, arguments array<string>, files map<string, string>")
+    parsed = units.parse(df, "/p")
+    got = sorted(parsed.collect(), key=lambda r: r["unit_ord"])
+    assert [(r["unit_ord"], [a["name"] for a in r["api"]]) for r in got] == [(k, [f"f{k}(int)", f"S{k}", f"S{k}::x"]) for k in range(50)]
+    plan = declarations(parsed)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("MapInPandas") == 1
+
+
+def test_macros_of_commands_stay_apart():
+    source = b"#ifdef A\nint a(){return 0;}\n#undef A\n#define B 1\n#endif\n#ifdef B\nint b(){return 0;}\n#endif\n"
+    names = lambda *args: [f["name"] for f in facts("/p/a.c", "/p", ["cc", *args], lambda p: source if p == "/p/a.c" else None, lambda p: True)["functions"]]
+    for _ in range(2):
+        assert names("-DA") == ["a()", "b()"] and names() == [] and names("-DA", "-UA") == [] and names("-DB=2") == ["b()"]
+
+
 def units_table(spark, rows):
     return spark.createDataFrame([{"unit_ord": 0, "file": "/p/a.hpp", **rows}], FACTS)
 
