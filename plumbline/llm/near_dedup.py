@@ -14,7 +14,9 @@
    probability of 3e-6 more. Parts are compared in blocks too, whatever their size.
 4. Comparing is sequential: signatures are compared in batches, and a pair is dropped as soon as the posterior
    probability (uniform prior) that its similarity reaches the threshold falls below MISS.
-5. Survivors are verified on the full sets. Components of the verified links are the groups.
+5. Survivors are verified on the full sets. The second wave's are verified within their block, whose rows with a
+   survivor get their full sets for that: only links that join two components of the block leave it, fewer than it has
+   rows, so what leaves doesn't grow with the square of a group. Components of the verified links are the groups.
 
 Defined cases: documents without words, or null, have an empty set and link with nothing; with fewer words than a
 shingle, all words make one; rows of equal ids are linked by their own texts; a null id takes part, but a component's
@@ -24,7 +26,7 @@ no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -43,8 +45,9 @@ BANDS, ROWS, SIGNATURE = 42, 6, 504
 #: The posterior below which a pair is dropped, at each of 14 looks. A pair of similarity exactly 0.8 is then lost with a
 #: probability below 1e-5 over all looks, one of 0.82 below 1e-6 (see test_bayesian_bounds).
 BATCH, MISS = 36, 5e-7
-#: Members of a bucket that one task compares with as many others at once.
-BLOCK = 512
+#: Members of a bucket that one task compares with as many others at once; one of more than LONG shingles counts for
+#: several, so that a block's full sets take about BLOCK * LONG * 8 bytes (16 MB) at most.
+BLOCK, LONG = 512, 4096
 #: Members of a bucket beside its largest component from which it is parted by the bands of the other half.
 WIDE = BANDS * BLOCK
 WORDS_KNOWN = 300_000
@@ -146,12 +149,11 @@ def _with_both(pairs: DataFrame, of_u: DataFrame, of_v: DataFrame) -> DataFrame:
     return dealt_join(one, of_v, "v", "u", hot_keys(pairs, "v"))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (u, v) of classes whose full sets are similar enough."""
-    need = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    need = written(need.join(classes.select("node", "first_id", "set_digest"), "node"), "needed")
+def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame | None:
+    """node, members: the full sets of the classes in nodes (distinct); None if there are none."""
+    need = written(nodes.join(classes.select("node", "first_id", "set_digest"), "node"), "needed")
     if not need.count():
-        return pairs.select("u", "v")
+        return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
@@ -165,7 +167,15 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = d.join(ids, F.col("id").eqNullSafe(F.col("need_id")), "left_semi").select("text")
     sets = texts.mapInArrow(run, "set_digest binary, members array<bigint>").join(bounded_broadcast(need.select("node", "set_digest")), "set_digest").select("node", "members")
-    sets = written(sets.dropDuplicates(["node"]), "sets")  # rows of one class have equal sets: any of them will do
+    return written(sets.dropDuplicates(["node"]), "sets")  # rows of one class have equal sets: any of them will do
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (u, v) of classes whose full sets are similar enough."""
+    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    sets = _sets(nodes, classes, docs, width, id_col, text_col)
+    if sets is None:
+        return pairs.select("u", "v")
     both = _with_both(pairs.select("u", "v"), sets.toDF("u", "mu"), sets.toDF("v", "mv"))
     shared = F.size(F.array_intersect("mu", "mv"))
     return both.select("u", "v", shared.alias("s"), (F.size("mu") + F.size("mv")).alias("t")).where(F.col("s") * 100 >= percent * (F.col("t") - F.col("s"))).select("u", "v")
@@ -198,8 +208,11 @@ def _compare_pivots(pairs: DataFrame, classes: DataFrame, threshold: float) -> D
 
 
 def _mixed(at: DataFrame) -> DataFrame:
-    """Of the buckets that hold several components: band_key, largest (component), n (its members), total."""
-    sizes = at.groupBy("band_key", "component").agg(F.count(F.lit(1)).alias("n"))
+    """Of the buckets that hold several components: band_key, largest (component), n (its members), total.
+
+    A member of more than LONG shingles counts for several.
+    """
+    sizes = at.groupBy("band_key", "component").agg(F.sum(F.ceil(F.col("n") / F.lit(LONG))).alias("n"))
     top = sizes.groupBy("band_key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total")).where("top.n < total")
     return top.select("band_key", F.col("top.component").alias("largest"), F.col("top.n").alias("n"), "total")
 
@@ -208,72 +221,120 @@ def _parts(at: DataFrame, classes: DataFrame) -> DataFrame:
     """Members of buckets, in each of the parts that the bands of the signature's other half make of a bucket."""
     second = f"substring(sig, {BANDS * ROWS} + b * {ROWS} + 1, {ROWS})"
     keys = F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(band_key, b, {second}))")).alias("part", "part_key")
-    parts = at.join(classes.select("node", "sig"), "node").select("node", "band", "component", keys)
-    return parts.select("node", "band", "part", F.col("part_key").alias("band_key"), "component")
+    parts = at.join(classes.select("node", "sig"), "node").select("node", "n", "band", "component", keys)
+    return parts.select("node", "n", "band", "part", F.col("part_key").alias("band_key"), "component")
 
 
 def _compare_buckets(shared: DataFrame, classes: DataFrame, labels: DataFrame, hot: DataFrame, threshold: float) -> DataFrame:
-    """u, v: surviving pairs of different components that share a bucket; each pair is tested in its first bucket only.
+    """Rows of blocks that have a surviving pair of different components (see _block_rows, _partners); each pair is
+    tested in its first bucket only.
 
     A bucket's largest component needs no comparing within itself. The other members, the rest, are cut into blocks
     0..r-1 and the largest component into blocks from r on; a task compares one block of the rest with another block,
     so a bucket of one large group and few others costs a copy or two of each row. A bucket of up to BLOCK members is
     one block. One of more than WIDE others is parted first (see _parts).
     """
-    at = shared.where("members > 2").join(labels, "node", "left").select("node", "band", F.lit(-1).alias("part"), "band_key", F.coalesce("component", "node").alias("component"))
+    at = shared.where("members > 2").join(labels, "node", "left").select("node", "n", "band", F.lit(-1).alias("part"), "band_key", F.coalesce("component", "node").alias("component"))
     top = written(_mixed(at), "mixed")
     is_wide = F.col("total") - F.col("n") > WIDE
     if top.where(is_wide).isEmpty():
-        return _compare_blocks(at, top, classes, hot, threshold)
+        return _near_rows(_block_rows(at, top, classes, hot), threshold)
     wide = top.where(is_wide).select("band_key")
     parts = written(_parts(dealt_join(at, wide, "band_key", "node", hot), classes), "parts")
-    one = _compare_blocks(at, top.where(~is_wide), classes, hot, threshold)
-    return one.union(_compare_blocks(parts, written(_mixed(parts), "mixed"), classes, hot_keys(parts, "band_key"), threshold)).distinct()
+    one = _near_rows(_block_rows(at, top.where(~is_wide), classes, hot), threshold)
+    return one.union(_near_rows(_block_rows(parts, written(_mixed(parts), "mixed"), classes, hot_keys(parts, "band_key")), threshold))
 
 
-def _compare_blocks(at: DataFrame, top: DataFrame, classes: DataFrame, hot: DataFrame, threshold: float) -> DataFrame:
-    """_compare_buckets for the buckets of top, or parts of buckets (part is -1 for a whole bucket)."""
+def _block_rows(at: DataFrame, top: DataFrame, classes: DataFrame, hot: DataFrame) -> DataFrame:
+    """The members of the buckets of top, or of parts of buckets (part is -1 for a whole bucket), in each comparison of two
+    blocks (lo, hi) that they take part in."""
     blocks = lambda rows: F.ceil(rows / F.lit(BLOCK)).cast("int")
     small = F.col("total") <= BLOCK  # one block of all members: two tasks would cost more than they spare
     r, g = F.when(small, 1).otherwise(blocks(F.col("total") - F.col("n"))), F.when(small, 0).otherwise(blocks(F.col("n")))
     top = top.select("band_key", "largest", r.alias("r"), g.alias("g"))
-    at = dealt_join(at, top, "band_key", "node", hot).join(classes.select("node", "sig", "n"), "node")
+    at = dealt_join(at.drop("n"), top, "band_key", "node", hot).join(classes.select("node", "sig", "n"), "node")
     rest, h = (F.col("component") != F.col("largest")) | (F.col("g") == 0), F.xxhash64("node")
     at = at.withColumn("own", F.when(rest, F.pmod(h, F.col("r"))).otherwise(F.col("r") + F.pmod(h, F.col("g"))).cast("int"))
     at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(rest, F.col("r") + F.col("g")).otherwise(F.col("r")) - 1)))
-    at = at.select("node", "component", "band", "part", "band_key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "sig", "n")
+    return at.select("node", "component", "band", "part", "band_key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "sig", "n")
+
+
+def _partners(pdf: pd.DataFrame, threshold: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    """For the rows of two blocks, a function of a row and the rows' labels: the rows of other labels that make a
+    surviving pair with it. It gives a pair for one of its rows only."""
+    node, n = (pdf[c].to_numpy() for c in ("node", "n"))
+    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(-1, SIGNATURE)
+    band, part, one = int(pdf["band"].iloc[0]), int(pdf["part"].iloc[0]), pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
+    codes = np.zeros((2, len(sig), BANDS, 8), np.uint8)
+    codes[:, :, :, :ROWS] = sig.reshape(-1, 2, BANDS, ROWS).swapaxes(0, 1)
+    bands, others = codes.view(np.uint64)[..., 0]
+    first = pdf["own"].to_numpy() == pdf["lo"].iloc[0]
+
+    def partners(i: int, label: np.ndarray) -> np.ndarray:
+        if not (one or first[i]):
+            return np.empty(0, np.int64)
+        ok = (label != label[i]) & (np.minimum(n, n[i]) >= np.maximum(n, n[i]) * (threshold - 1e-9))
+        ok &= node > node[i] if one else ~first
+        j = np.flatnonzero(ok)
+        # a pair that shares an earlier band was tested there for certain if it shares one of the other half too, in
+        # which a wide bucket is parted; within a part it does
+        if len(j) and band:
+            met = (bands[j, :band] == bands[i, :band]).any(axis=1)
+            if part < 0:
+                met[met] = (others[j[met]] == others[i]).any(axis=1)
+            j = j[~met]
+        if len(j) and part > 0:
+            j = j[~(others[j, :part] == others[i, :part]).any(axis=1)]
+        return j[surviving(sig, sig, np.full(len(j), i), j, threshold)] if len(j) else j
+
+    return partners
+
+
+def _near_rows(rows: DataFrame, threshold: float) -> DataFrame:
+    """The rows of _block_rows that have a surviving pair in their comparison."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, comp, n = (pdf[c].to_numpy() for c in ("node", "component", "n"))
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(-1, SIGNATURE)
-        band, part, one = int(pdf["band"].iloc[0]), int(pdf["part"].iloc[0]), pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
-        codes = np.zeros((2, len(sig), BANDS, 8), np.uint8)
-        codes[:, :, :, :ROWS] = sig.reshape(-1, 2, BANDS, ROWS).swapaxes(0, 1)
-        bands, others = codes.view(np.uint64)[..., 0]
-        first = pdf["own"].to_numpy() == pdf["lo"].iloc[0]
-        us, vs = [], []
-        for i in range(len(node)):
-            if not (one or first[i]):
-                continue
-            ok = (comp != comp[i]) & (np.minimum(n, n[i]) >= np.maximum(n, n[i]) * (threshold - 1e-9))
-            ok &= node > node[i] if one else ~first
-            j = np.flatnonzero(ok)
-            # a pair that shares an earlier band was tested there for certain if it shares one of the other half too, in
-            # which a wide bucket is parted; within a part it does
-            if len(j) and band:
-                met = (bands[j, :band] == bands[i, :band]).any(axis=1)
-                if part < 0:
-                    met[met] = (others[j[met]] == others[i]).any(axis=1)
-                j = j[~met]
-            if len(j) and part > 0:
-                j = j[~(others[j, :part] == others[i, :part]).any(axis=1)]
-            if len(j):
-                j = j[surviving(sig, sig, np.full(len(j), i), j, threshold)]
-                us.append(np.full(len(j), node[i]))
-                vs.append(node[j])
-        return pd.DataFrame({"u": np.concatenate([*us, np.empty(0, np.int64)]).astype("int64"), "v": np.concatenate([*vs, np.empty(0, np.int64)]).astype("int64")})
-
-    return at.groupBy("band_key", "lo", "hi").applyInPandas(run, "u bigint, v bigint")
+        partners, component, near = _partners(pdf, threshold), pdf["component"].to_numpy(), np.zeros(len(pdf), bool)
+        for i in range(len(pdf)):
+            j = partners(i, component)
+            near[j] = True
+            near[i] |= len(j) > 0
+        return pdf[near]
+
+    return rows.groupBy("band_key", "lo", "hi").applyInPandas(run, rows.schema)
+
+
+def _links(pdf: pd.DataFrame, threshold: float, percent: int) -> tuple[list[int], list[int]]:
+    """Rows of two blocks, with their full sets, that are linked: of the verified links only those that join two
+    components, given or made by the links before, so there are fewer than rows."""
+    partners, label, n = _partners(pdf, threshold), pdf["component"].to_numpy(copy=True), pdf["n"].to_numpy()
+    codes = np.unique(np.concatenate(pdf["members"].to_list()), return_inverse=True)[1]
+    sets, held = np.split(codes, np.cumsum(n)[:-1]), np.zeros(codes.max() + 1, bool)
+    us, vs = [], []
+    for i in range(len(pdf)):
+        j = partners(i, label)
+        if not len(j):
+            continue
+        held[sets[i]] = True
+        shared = np.add.reduceat(held[np.concatenate([sets[k] for k in j])], np.cumsum(n[j]) - n[j], dtype=np.int64)
+        held[sets[i]] = False
+        for k in j[shared * 100 >= percent * (n[i] + n[j] - shared)]:
+            if label[k] != label[i]:
+                label[label == label[k]] = label[i]
+                us.append(i)
+                vs.append(k)
+    return us, vs
+
+
+def _linked(near: DataFrame, sets: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """u, v: links, verified on the full sets, that join the components of the rows of each comparison (_near_rows)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        node = pdf["node"].to_numpy()
+        us, vs = _links(pdf, threshold, percent)
+        return pd.DataFrame({"u": node[us], "v": node[vs]}, dtype="int64")
+
+    return near.join(sets, "node").groupBy("band_key", "part", "lo", "hi").applyInPandas(run, "u bigint, v bigint")
 
 
 def _grouped(docs: DataFrame, width: int, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -283,17 +344,17 @@ def _grouped(docs: DataFrame, width: int, threshold: float, id_col: str, text_co
     rows = written(document_sets(docs, width, id_col, text_col), "rows")
     classes = rows.where("n > 0").groupBy("set_digest").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # written, so the numbers stay
-    bands = classes.select("node", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(sig, b * {ROWS} + 1, {ROWS})))")).alias("band", "band_key"))
+    bands = classes.select("node", "n", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(sig, b * {ROWS} + 1, {ROWS})))")).alias("band", "band_key"))
     full = written(bands.groupBy("band_key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "buckets")
     hot = written(full.where(F.col("members") > HOT).select("band_key", F.col("members").alias("rows")), "hot")
     shared = written(dealt_join(bands, full, "band_key", "node", hot), "shared")
     pairs = written(_pivots(shared, hot), "pivots")
     links = written(_verified(written(_compare_pivots(pairs, classes, threshold), "pivoted"), classes, docs, width, percent, id_col, text_col), "links")
     labels = components(links)
-    rest = written(_compare_buckets(shared, classes, labels, hot, threshold), "compared")
-    more = written(_verified(rest, classes, docs, width, percent, id_col, text_col), "links")
-    if more.count():
-        labels = components(links.union(more))
+    near = written(_compare_buckets(shared, classes, labels, hot, threshold), "near")
+    sets = _sets(near.select("node").distinct(), classes, docs, width, id_col, text_col)
+    if sets is not None:
+        labels = components(links.union(written(_linked(near, sets, threshold, percent), "links")))
     named = written(classes.join(labels, "node", "left").select("set_digest", "first_id", F.coalesce("component", "node").alias("component")), "named")
     released(begun, rows, named)
     return rows, named

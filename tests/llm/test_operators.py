@@ -633,6 +633,34 @@ def test_near_duplicates_of_a_shared_passage(spark, monkeypatch):
     assert sizes and sizes[0] > 60
 
 
+@pytest.mark.parametrize("long", [4096, 20])
+def test_pairs_of_a_group_stay_in_their_blocks(spark, monkeypatch, long):
+    """Copies with similarities about the threshold: most pairs survive the signatures, few are linked. What is written
+    mustn't grow with the pairs. With a small bound on shingles the group is cut into many blocks."""
+    monkeypatch.setattr(near_dedup, "LONG", long, raising=False)
+    rng = np.random.default_rng(7)
+    base, texts = [f"w{i}" for i in range(400)], []
+    for k in range(320):
+        w = list(base)
+        for p in rng.choice(100, 7, replace=False):  # 0.75 alike, linked if three places are the same
+            w[4 * p] = f"own{k}x{p}"
+        texts.append(" ".join(w))
+    rows_of, write = {}, near_dedup.written
+
+    def counted(df, label):
+        out = write(df, label)
+        if "u" in out.columns:
+            rows_of[label] = max(out.count(), rows_of.get(label, 0))
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = near_dedup.near_duplicates(df, width=4).collect()
+    want = brute_components(sets_of(list(enumerate(texts)), 4))
+    assert {r.doc_id: r.component_id for r in rows} == want and len(set(want.values())) > 1
+    assert max(rows_of.values()) < len(texts) * near_dedup.BANDS
+
+
 def test_near_duplicates_odd(spark, odd, empty):
     rows = near_dedup.near_duplicates(odd).collect()
     assert len(rows) == len(ODD) and near_dedup.near_duplicates(empty).count() == 0
